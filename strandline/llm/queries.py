@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.llm import minhash
+from strandline.llm import ann, embeddings, lm, minhash, mixing, packing, pii, quality, tokens, toxicity
 from strandline.session import table
 
 QUERIES: dict = {}
+#: None of the ten can be said in SQL within reason on whole tables; tests/llm holds brute-force twins.
 ORACLE_SQL: dict[str, str] = {}
 
 
@@ -14,6 +15,51 @@ def query(fn):
     return fn
 
 
+@query
+def op1_token_counts(spark, sf_dir):
+    return tokens.count(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_pii(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_embedding_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_lm_score(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_mixing(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
