@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from strandline.llm import minhash
+from pyspark.sql import functions as F
+
+from strandline.llm import minhash, mixing, packing, pii, toxicity
+from strandline.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOXIC = 0.7
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents scored below TOXIC stay; the models learn from this stage's own input."""
+    bad = toxicity.score(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= TOXIC).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -13,12 +23,30 @@ def near_dedup(spark, docs, sf_dir):
     return docs.join(found, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def sanitise(spark, docs, sf_dir):
+    """Personal data and disclosing terms give way to the name of their kind; n_chars follows."""
+    out = pii.sanitised(pii.find(docs)).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*COLUMNS)
+
+
+def mix(spark, docs, sf_dir):
+    """Each document as often as the mix takes it: no, one or two rows."""
+    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies").distinct()
+    rows = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*COLUMNS)
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of the mixed documents in windows of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("drop_toxic", drop_toxic), ("near_dedup", near_dedup), ("sanitise", sanitise), ("mix", mix), ("pack", pack)]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
