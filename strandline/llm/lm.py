@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.fetch import fetched
 from strandline.llm.sampling import remainder
 from strandline.llm.words import Words, chunks, mix
 from strandline.session import ensure_workers, stored
@@ -146,10 +147,10 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     bc = spark.sparkContext.broadcast(Filter(blocks, filled.toLocalIterator()))
     held = (remainder("doc_id", 5) == 1).alias("held_out")
     if kinds <= broadcast_words:
-        t = words.select("h", "n").toPandas()
-        h = t["h"].to_numpy().view(np.uint64)
+        t = fetched(words.select("h", "n"))
+        h = t["h"].view(np.uint64)
         order = np.argsort(h)
-        table = spark.sparkContext.broadcast((h[order], t["n"].to_numpy()[order]))
+        table = spark.sparkContext.broadcast((h[order], t["n"][order]))
         out = docs.mapInPandas(_model_rows(bc, total, kinds, table), "doc_id long, n_tokens long, score double, n_known long, base_score double")
     else:
         base = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * (kinds + 1)))
