@@ -57,7 +57,7 @@ SPAN = "array<struct<start:bigint,rank:int,stop:bigint,value:string>>"
 def _spans(text, pattern: str, rank: int, passes):
     """Spans (start, rank, stop, value) of the matches that pass, as an array column."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), m.alias("m"), F.coalesce(passes(m), F.lit(False)).alias("ok")))
+    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), m.alias("m"), (m.isNotNull() & F.coalesce(passes(m), F.lit(False))).alias("ok")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {SPAN})").alias("got"))
 
     def step(s, x):
