@@ -108,6 +108,8 @@ def _model_rows(bc, total: int, kinds: int, table_bc):
                 p = np.where(prior > 0, LAMBDA * two / np.maximum(prior, 1) + (1 - LAMBDA) * p1, p1)
                 n = len(parts)
                 out = {"doc_id": ids.iloc[first : first + n].to_numpy(), "n_tokens": np.bincount(doc, minlength=n), "score": np.bincount(doc, np.log10(np.minimum(p, 1.0)), n)}
+                if "row" in pdf:
+                    out["row"] = pdf["row"].iloc[first : first + n].to_numpy()
                 if table_bc is not None:
                     h, c = table_bc.value
                     at = np.minimum(np.searchsorted(h, token), max(len(h) - 1, 0))
@@ -154,9 +156,10 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
         out = docs.mapInPandas(_model_rows(bc, total, kinds, table), "doc_id long, n_tokens long, score double, n_known long, base_score double")
     else:
         base = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * (kinds + 1)))
-        numbered = docs.withColumn("row", F.col("doc_id"))
-        exact = (numbered.mapInPandas(_token_rows, "row long, h long, k long").join(words.select("h", "n"), "h", "left").groupBy("row")
+        # rows alike in id and text share a key and are counted once, then joined to each
+        numbered = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+        exact = (numbered.dropDuplicates(["row"]).mapInPandas(_token_rows, "row long, h long, k long").join(words.select("h", "n"), "h", "left").groupBy("row")
                  .agg(F.sum(F.expr("CASE WHEN n > 0 THEN k ELSE 0 END")).alias("n_known"), F.sum(F.col("k") * base).alias("base_score"), F.sum(F.expr("k")).alias("all")))
-        model = docs.mapInPandas(_model_rows(bc, total, kinds, None), "doc_id long, n_tokens long, score double")
-        out = model.join(exact.withColumnRenamed("row", "doc_id"), "doc_id", "left")
+        model = numbered.mapInPandas(_model_rows(bc, total, kinds, None), "doc_id long, n_tokens long, score double, row long")
+        out = model.join(exact, "row", "left")
     return out.select("doc_id", held, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

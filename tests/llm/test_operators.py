@@ -177,10 +177,12 @@ def test_ann_recall(spark):
 
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_lm_base(docs, limit):
-    got = {r.doc_id: r for r in lm.score(docs, broadcast_words=limit).collect()}
+    rows = lm.score(docs.unionByName(docs.where("doc_id = 2")), broadcast_words=limit).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(TEXTS) + 1
     toks = {i: [*words_of(t), None] for i, t in enumerate(TEXTS)}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
-    c = Counter(w for i in toks if not held[i] for w in toks[i])
+    c = Counter(w for i in [*toks, 2] if not held[i] for w in toks[i])
     n, v = sum(c.values()), len(c)
     for i, t in toks.items():
         r = got[i]
