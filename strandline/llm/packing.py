@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,20 +28,88 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A space before anything but white space always begins a pre-token, so texts are cut there and equal pieces are tokenized once.
+CUT = re.compile(r"(?= \S)")
+#: A piece that keeps its tokens in a line of its own, and so many lines make one text.
+LINE, LINES = re.compile(r" ?\S+"), 1000
+#: A worker's tokenized pieces are forgotten past so many pieces or ids.
+MOST_PIECES, MOST_IDS = 1_000_000, 8_000_000
+
+
+class Pieces:
+    """Token ids of pieces seen before, in one array."""
+
+    def __init__(self, tok):
+        self.tok = tok
+        line = tok.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.clear()
+
+    def clear(self):
+        self.place: dict[str, int] = defaultdict()  # a new piece gets the next number
+        self.place.default_factory = self.place.__len__
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _put(self, ids) -> int:
+        """Where the ids were written."""
+        at, self.used = self.used, self.used + len(ids)
+        while self.used > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[at : self.used] = ids
+        return at
+
+    def _learn(self, new: list[str]) -> None:
+        """Tokenize new pieces: those without inner white space as lines of one text, others alone."""
+        inline = np.fromiter((self.line is not None and LINE.fullmatch(x) is not None for x in new), bool, len(new))
+        start, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        together = np.flatnonzero(inline)
+        for a in range(0, len(together), LINES):
+            part = together[a : a + LINES]
+            ids = np.array(self.tok.encode_batch_fast(["\n".join([new[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            breaks = np.flatnonzero(ids == self.line)
+            first = np.concatenate(([0], breaks + 1))
+            start[part] = first + self._put(ids)
+            size[part] = np.concatenate((breaks, [len(ids)])) - first
+        alone = np.flatnonzero(~inline)
+        for i, e in zip(alone, self.tok.encode_batch_fast([new[i] for i in alone], add_special_tokens=False), strict=True):
+            start[i], size[i] = self._put(e.ids), len(e.ids)
+        self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
+
+    def tokenized(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, the same as of the whole text at once."""
+        if len(self.place) > MOST_PIECES or self.used > MOST_IDS:
+            self.clear()
+        known, places = len(self.place), []
+        for t in texts:
+            pieces = CUT.split(t)
+            places.append(np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces)))
+        new = list(islice(reversed(self.place), len(self.place) - known))
+        if new:
+            self._learn(new[::-1])
+        out = []
+        for at in places:
+            n = self.size[at]
+            out.append(self.ids[np.arange(n.sum()) + np.repeat(self.start[at] - np.cumsum(n) + n, n)])
+        return out
+
+
 def _tokenize(path: str | None, window: int):
     def run(batches):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path or vocabulary_path())
         tok.encode_special_tokens = True
+        known = Pieces(tok)
         for pdf in batches:
             ids = pdf["doc_id"].to_numpy()
             for first, parts in chunks(pdf["text"], 1_000_000):
                 counts, crcs = [], []
-                for e in tok.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in parts], add_special_tokens=False):
-                    a = np.array([*e.ids, 0], "<u4")
+                for found in known.tokenized([p.decode("utf-8", "surrogatepass") for p in parts]):
+                    a = np.append(found, np.uint32(0))
                     counts.append(len(a))
-                    crcs.append([zlib.crc32(a[i : i + window].tobytes()) for i in range(0, len(a), window)])
+                    crcs.append([zlib.crc32(a[i : i + window]) for i in range(0, len(a), window)])
                 yield pd.DataFrame({"doc_id": ids[first : first + len(parts)], "n": counts, "crcs": crcs})
     return run
 

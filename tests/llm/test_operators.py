@@ -95,6 +95,19 @@ def test_disclosing_terms(spark):
     assert out[50] == "<TERM> wrote" and "<EMAIL>" in out[0] and "Zebulon" not in out[0] and out[10] == rows[4][1]
 
 
+def test_tokens_of_pieces_are_those_of_the_text():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary_path())
+    tok.encode_special_tokens = True
+    rng = np.random.default_rng(4)
+    signs = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u0085", "\x1c", "\u200b", "a", "'s", "Don't", "7", "42", "!?", "é", "中文", "😀", "<|endoftext|>", "\r\n", "-", "word"]
+    texts = ["", " ", "  a", "a  "] + ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(3000)]
+    known = packing.Pieces(tok)
+    for _ in range(2):
+        assert [x.tolist() for x in known.tokenized(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
