@@ -19,6 +19,8 @@ from strandline.session import ensure_workers, stored
 
 #: A pair at cosine 0.98 is in one bucket of a table with odds (1 - acos(0.98)/pi)^BITS = 0.52, so TABLES miss it with odds 9e-6.
 TABLES, BITS, SEED, BLOCK = 16, 10, 5, 512
+#: Rows that one comparing call takes, about.
+ROWS = 8192
 
 
 def usable(col: str = "embedding"):
@@ -66,33 +68,39 @@ def _spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
 
 
 def _compare(least: float):
-    def run(key, pdf):
-        dim, table = int(pdf["dim"].iloc[0]), int(key[3])
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same = not len(b) and key[5] == key[6]
-        empty = pd.DataFrame({"rep": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})
-        if not len(a) or not (same or len(b)):
-            return empty
-        b = a if same else b
-
-        def unit(f):
-            x = np.frombuffer(b"".join(f["embedding"]), np.float64).reshape(len(f), dim)
+    def run(pdf):
+        reps, counts, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def put(u, n, v):
+            reps.append(u), counts.append(n), others.append(v)
+
+        for dim, part in pdf.groupby("dim"):
+            pair = part.groupby(["label", "t", "key", "i", "j"], sort=False).ngroup().to_numpy()
+            order = np.lexsort((part["side"].to_numpy(), pair))
+            part, pair = part.iloc[order], pair[order]
+            x = np.frombuffer(b"".join(part["embedding"]), np.float64).reshape(len(part), int(dim))
             x = x / np.abs(x).max(axis=1, keepdims=True)
-            return x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.array(f["keys"].tolist())
-
-        (xa, ka), (xb, kb) = unit(a), unit(b)
-        hit = xa @ xb.T >= least
-        if same:
-            np.fill_diagonal(hit, False)
-        for t in range(table):
-            hit &= ka[:, t][:, None] != kb[:, t][None, :]
-        if not hit.any():
-            return empty
-        ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
-        counts = [(ra, hit @ b["copies"].to_numpy())] + ([] if same else [(rb, hit.T @ a["copies"].to_numpy())])
-        rep, n = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
-        links = np.array(_spanning(hit, ra, rb), np.int64).reshape(-1, 2)
-        return pd.concat([pd.DataFrame({"rep": rep[n > 0], "n": n[n > 0], "v": rep[n > 0]}), pd.DataFrame({"rep": links[:, 0], "n": np.zeros(len(links), np.int64), "v": links[:, 1]})])
+            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            keys = np.array(part["keys"].tolist())
+            rep, copies, side, t, i, j = (part[c].to_numpy() for c in ("rep", "copies", "side", "t", "i", "j"))
+            edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True])))
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                same, cut = i[first] == j[first], first + int(np.searchsorted(side[first:last], 1))
+                left, right = (slice(first, last),) * 2 if same else (slice(first, cut), slice(cut, last))
+                hit = x[left] @ x[right].T >= least
+                if same:
+                    np.fill_diagonal(hit, False)
+                if not hit.any():
+                    continue
+                for k in range(t[first]):
+                    hit &= keys[left, k][:, None] != keys[right, k][None, :]
+                put(rep[left], hit @ copies[right], rep[left])
+                if not same:
+                    put(rep[right], hit.T @ copies[left], rep[right])
+                links = np.array(_spanning(hit, rep[left], rep[right]), np.int64).reshape(-1, 2)
+                put(links[:, 0], np.zeros(len(links), np.int64), links[:, 1])
+        out = pd.DataFrame({"rep": np.concatenate(reps), "n": np.concatenate(counts), "v": np.concatenate(others)})
+        return out[(out["n"] > 0) | (out["rep"] != out["v"])]
     return run
 
 
@@ -119,8 +127,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     dealt = full.join(sizes, ["label", "dim", "t", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
-    found = stored(dealt.select("label", "dim", "key", "t", "blocks", "i", "j", "side", "rep", "copies", "embedding", "keys")
-                   .groupBy("label", "dim", "key", "t", "blocks", "i", "j").applyInPandas(_compare(least), "rep long, n long, v long"))
+    # many small block pairs share a call of about ROWS rows
+    calls = -(-int(sizes.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0) // ROWS) or 1
+    dealt = dealt.withColumn("call", F.pmod(F.xxhash64("label", "dim", "key", "t", "i", "j"), F.lit(calls)))
+    found = stored(dealt.select("call", "label", "dim", "key", "t", "i", "j", "side", "rep", "copies", "embedding", "keys")
+                   .groupBy("call").applyInPandas(_compare(least), "rep long, n long, v long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     label = components(found.where("rep <> v").select(F.col("rep").alias("u"), "v"))
     known = keyed.select("rep", "copies").join(counts, "rep", "left").join(label.select(F.col("node").alias("rep"), "component_id"), "rep", "left")
