@@ -29,12 +29,12 @@ def arcs(spark: SparkSession, sf_dir: str, removed: int = REMOVED) -> DataFrame:
 
 def demands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """d (node), stratum, w: one zone a node and order priority, weighing its orders."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0")
+    o = table(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_custkey").alias("d"), F.col("o_orderpriority").alias("stratum")).agg(F.count("*").cast("double").alias("w"))
 
 
-def access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node of each service point: a quarter of the suppliers, snapped."""
+def access(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """node of each service point: the suppliers (those of which, an SQL condition), snapped."""
     n = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0")
+    s = table(spark, sf_dir, "supplier").where(which)
     return s.crossJoin(F.broadcast(n)).select(F.expr("(s_suppkey * 37 + 11) % n").alias("node")).distinct()
