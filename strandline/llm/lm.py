@@ -1,10 +1,11 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and of word pairs seen twice or more are quantised to q = floor(2 log2 c)
-and each n-gram is put into the filter with 0..q; its count is read back by probing q = 0,
-1, ... until a probe fails. The filter is blocked: an n-gram's probes stay in one block, so
-blocks are built apart from each other and their number follows the training tokens. Base
-scores use exact word counts, by a broadcast table below a size limit and by a join above.
+Counts of all words and word pairs, those seen once included, are quantised to
+q = floor(2 log2 c) and each n-gram is put into the filter with 0..q; its count is read back
+by probing q = 0, 1, ... until a probe fails. The filter is blocked: an n-gram's probes stay
+in one block, so blocks are built apart from each other and their number follows what is
+inserted, without a bound. A filter too large to broadcast is probed by a join on the block.
+Base scores use exact word counts, by a broadcast table below a size limit and by a join above.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from strandline.llm.sampling import remainder
 from strandline.llm.words import Words, chunks, mix
 from strandline.session import ensure_workers, stored
 
-#: A block of BLOCK_BITS bits serves so many training tokens; MOST_BLOCKS bounds the broadcast (256 MB), past it false positives rise.
-BLOCK_BITS, TOKENS_A_BLOCK, MOST_BLOCKS, PROBES = 1 << 15, 1 << 14, 1 << 16, 3
+#: A block of BLOCK_BITS bits takes so many insertions on average (17 % of its bits set); up to MOST_BLOCKS (256 MB) the filter is broadcast.
+BLOCK_BITS, INSERTIONS_A_BLOCK, MOST_BLOCKS, PROBES = 1 << 15, 1 << 11, 1 << 16, 3
 #: Distinct words (16 bytes each) up to which the exact counts are broadcast.
 BROADCAST_WORDS = 2_000_000
 LAMBDA = 0.6
@@ -94,6 +95,12 @@ class Filter:
         return np.where(found < 0, 0.0, 2.0 ** ((found + 0.5) / 2))[back]
 
 
+def _probability(one, prior, two, total: int, kinds: int):
+    p1 = (one + 0.5) / (total + 0.5 * (kinds + 1))
+    two = np.minimum(two, prior)
+    return np.minimum(np.where(prior > 0, LAMBDA * two / np.maximum(prior, 1) + (1 - LAMBDA) * p1, p1), 1.0)
+
+
 def _model_rows(bc, total: int, kinds: int, table_bc):
     def run(batches):
         bloom = bc.value
@@ -102,12 +109,10 @@ def _model_rows(bc, total: int, kinds: int, table_bc):
             for first, parts in chunks(pdf["text"]):
                 doc, token, before = _sequence(Words(parts))
                 one = bloom.counts(token)
-                p1 = (one + 0.5) / (total + 0.5 * (kinds + 1))
                 prior = np.where(before == 0, 0.0, bloom.counts(before))
-                two = np.minimum(bloom.counts(_pair(before, token)), prior)
-                p = np.where(prior > 0, LAMBDA * two / np.maximum(prior, 1) + (1 - LAMBDA) * p1, p1)
+                p = _probability(one, prior, bloom.counts(_pair(before, token)), total, kinds)
                 n = len(parts)
-                out = {"doc_id": ids.iloc[first : first + n].to_numpy(), "n_tokens": np.bincount(doc, minlength=n), "score": np.bincount(doc, np.log10(np.minimum(p, 1.0)), n)}
+                out = {"doc_id": ids.iloc[first : first + n].to_numpy(), "n_tokens": np.bincount(doc, minlength=n), "score": np.bincount(doc, np.log10(p), n)}
                 if "row" in pdf:
                     out["row"] = pdf["row"].iloc[first : first + n].to_numpy()
                 if table_bc is not None:
@@ -129,7 +134,46 @@ def _token_rows(batches):
             yield f
 
 
-def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def _pair_rows(batches):
+    for pdf in batches:
+        ids = pdf["row"]
+        for first, parts in chunks(pdf["text"]):
+            doc, token, before = _sequence(Words(parts))
+            f = pd.DataFrame({"row": doc + first, "h": token.view(np.int64), "b": before.view(np.int64)}).value_counts().rename("k").reset_index()
+            f["row"] = ids.to_numpy()[f["row"]]
+            yield f.assign(pair=_pair(f["b"].to_numpy().view(np.uint64), f["h"].to_numpy().view(np.uint64)).view(np.int64))
+
+
+def _probe(_, wanted, filled):
+    h = wanted["h"].to_numpy().view(np.uint64)
+    return pd.DataFrame({"h": wanted["h"], "c": Filter(1, [r._replace(block=0) for r in filled.itertuples(index=False)]).counts(h)})
+
+
+def _block(h: str, blocks: int):
+    """h as an unsigned number, mod blocks."""
+    return F.expr(f"cast(pmod(pmod(shiftrightunsigned({h}, 1), {blocks}) * 2 + ({h} & 1), {blocks}) AS int)")
+
+
+def _joined_model(rows: DataFrame, filled: DataFrame, blocks: int, total: int, kinds: int) -> DataFrame:
+    """row, n_tokens, score of each of rows (row, text), row being distinct; no part of the filter but one block is held at once."""
+    seen = stored(rows.mapInPandas(_pair_rows, "row long, h long, b long, k long, pair long"))
+    pairs = seen.groupBy("pair").agg(F.first("h").alias("h"), F.first("b").alias("b"))
+    wanted = pairs.select(F.explode(F.array("pair", "h")).alias("h")).distinct().withColumn("block", _block("h", blocks))
+    counts = stored(wanted.groupBy("block").cogroup(filled.groupBy("block")).applyInPandas(_probe, "h long, c double"))
+    named = lambda key, out: counts.select(F.col("h").alias(key), F.col("c").alias(out))
+    known = pairs.join(named("pair", "two"), "pair").join(named("h", "one"), "h").join(named("b", "prior"), "b", "left")
+
+    def weigh(batches):
+        for pdf in batches:
+            prior = np.where(pdf["b"] == 0, 0.0, pdf["prior"].fillna(0.0))
+            p = _probability(pdf["one"].to_numpy(), prior, pdf["two"].to_numpy(), total, kinds)
+            yield pd.DataFrame({"pair": pdf["pair"], "lp": np.log10(p)})
+
+    lp = known.mapInPandas(weigh, "pair long, lp double")
+    return seen.join(lp, "pair").groupBy("row").agg(F.sum("k").alias("n_tokens"), F.sum(F.col("k") * F.col("lp")).alias("score"))
+
+
+def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text).
 
     Null texts are empty and have the end token only. Training rows are those whose
@@ -140,15 +184,16 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     ensure_workers(spark)
     docs = docs.select("doc_id", "text")
     train = docs.where(remainder("doc_id", 5) != 1).select("text")
-    grams = stored(train.mapInPandas(_grams, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).where("kind = 1 OR n > 1"))
+    grams = stored(train.mapInPandas(_grams, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")))
     words = grams.where("kind = 1")
     total, kinds = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
-    blocks = min(MOST_BLOCKS, max(1, -(-total // TOKENS_A_BLOCK)))
-    unsigned = F.expr(f"pmod(pmod(shiftrightunsigned(h, 1), {blocks}) * 2 + (h & 1), {blocks})")
-    filled = grams.select("h", "n", unsigned.cast("int").alias("block")).groupBy("block").applyInPandas(_fill, "block int, bits binary")
-    bc = spark.sparkContext.broadcast(Filter(blocks, filled.toLocalIterator()))
+    insertions = int(grams.agg(F.sum(F.expr("floor(2 * log2(n)) + 1"))).first()[0] or 0)
+    blocks = max(1, -(-insertions // INSERTIONS_A_BLOCK))
+    filled = grams.select("h", "n", _block("h", blocks).alias("block")).groupBy("block").applyInPandas(_fill, "block int, bits binary")
+    small = blocks <= most_blocks
+    bc = spark.sparkContext.broadcast(Filter(blocks, filled.toLocalIterator())) if small else None
     held = (remainder("doc_id", 5) == 1).alias("held_out")
-    if kinds <= broadcast_words:
+    if small and kinds <= broadcast_words:
         t = fetched(words.select("h", "n"))
         h = t["h"].view(np.uint64)
         order = np.argsort(h)
@@ -158,8 +203,12 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
         base = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * (kinds + 1)))
         # rows alike in id and text share a key and are counted once, then joined to each
         numbered = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-        exact = (numbered.dropDuplicates(["row"]).mapInPandas(_token_rows, "row long, h long, k long").join(words.select("h", "n"), "h", "left").groupBy("row")
+        once = numbered.dropDuplicates(["row"])
+        exact = (once.mapInPandas(_token_rows, "row long, h long, k long").join(words.select("h", "n"), "h", "left").groupBy("row")
                  .agg(F.sum(F.expr("CASE WHEN n > 0 THEN k ELSE 0 END")).alias("n_known"), F.sum(F.col("k") * base).alias("base_score"), F.sum(F.expr("k")).alias("all")))
-        model = numbered.mapInPandas(_model_rows(bc, total, kinds, None), "doc_id long, n_tokens long, score double, row long")
+        if small:
+            model = numbered.mapInPandas(_model_rows(bc, total, kinds, None), "doc_id long, n_tokens long, score double, row long")
+        else:
+            model = numbered.select("doc_id", "row").join(_joined_model(once.select("row", "text"), filled, blocks, total, kinds), "row")
         out = model.join(exact, "row", "left")
     return out.select("doc_id", held, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
