@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from strandline.llm import lm
+from strandline.llm import lm, toxicity
+from strandline.llm.words import Words
 from strandline.llm.words import tokens as words_of
 
 DOCS = "doc_id long, text string, source string, fp_a string"
@@ -35,3 +36,21 @@ def test_lm_counts_every_pair(spark, blocks):
                 p = 0.6 * min(read(two[b, w]), read(one[b])) / read(one[b]) + 0.4 * p
             want += math.log10(min(p, 1.0))
         assert r.n_tokens == len(seq[r.doc_id]) and math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_toxicity_counts_words_by_whole_key(spark):
+    texts = [(f"before{i} common", i % 2) for i in range(1000)] + [("common again", 0)]
+    got = {r.h: (r.n0, r.n1, r.follows) for r in toxicity.word_counts(spark.createDataFrame(texts, "text string, y int")).collect()}
+    h = int(Words([b"common"]).hash.view("int64")[0])
+    assert len(got) == 1002 and got[h] == (501, 500, 1001)
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_toxicity_words_share_nothing(spark, limit):
+    names = [b"name%d" % i for i in range(3_000_000)]
+    top = Words([b" ".join(names)]).hash >> 44
+    same = names[next(i for i in range(1, len(names)) if top[i] == top[0])].decode()
+    rows = [(i, f"calm text number {'name0' if i % 2 else 'fine'}") for i in range(600)] + [(1000, f"calm {same}"), (1001, "calm elsewhere"), (1002, "calm name0"), (1003, None), (1003, "")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels, broadcast_words=limit).collect()}
+    assert len(got) == 604 and math.isclose(got[1000], got[1001], rel_tol=1e-9) and got[1002] > 0.7 > got[1001]
