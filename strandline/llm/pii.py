@@ -85,17 +85,19 @@ def disclosing_terms(found: DataFrame, alpha: float = ALPHA, least: int = LEAST_
     or '@', and words of fewer than 4 characters, are no terms.
     """
     texts = found.select("body", "base", F.xxhash64("body").alias("t"))
-    n = texts.agg(F.approx_count_distinct("t", 0.01).alias("n"))
+    n = texts.agg(F.count_distinct("t").alias("n"))
     around = texts.where(F.size("base") > 0).dropDuplicates(["t"]).select("t", "body", F.explode("base").alias("s"))
+    # what touches the value and the next words by position, however far they are in characters
+    nearest = rf"^[^\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){{0,{context}}}+"
     side = lambda c: F.filter(F.split(F.lower(c), r"[\x20\x09-\x0D]+"), lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9@]"))
-    left = F.slice(F.reverse(side(F.expr("substring(body, greatest(1, s.start - 119), least(s.start, 120L))"))), 1, context)
-    right = F.slice(side(F.expr("substring(body, s.stop + 1, 120)")), 1, context)
+    left = side(F.reverse(F.regexp_extract(F.reverse(F.expr("substring(body, 1, cast(s.start AS int))")), nearest, 0)))
+    right = side(F.regexp_extract(F.expr("substring(body, cast(s.stop + 1 AS int))"), nearest, 0))
     near = around.select("t", F.xxhash64(F.lower("s.value")).alias("entity"), F.explode(F.array_distinct(F.concat(left, right))).alias("term")).distinct()
     entities = around.select("t", F.xxhash64(F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("ne"))
     joint = near.groupBy("entity", "term").agg(F.count("*").alias("nj")).where(F.col("nj") >= least)
     wanted = stored(joint.join(entities, "entity"))
     words = texts.select("t", F.explode(F.array_distinct(F.split(F.lower("body"), r"[\x20\x09-\x0D]+"))).alias("term"))
-    counts = words.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
+    counts = words.join(wanted.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("nt"))
     pmi, ic = F.expr("ln(nj * n / (nt * ne))"), F.expr("ln(n / ne)")
     return wanted.join(counts, "term").crossJoin(F.broadcast(n)).where(pmi >= ic / alpha).select("term").distinct()
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from strandline.llm import lm, toxicity
+from strandline.llm import lm, pii, toxicity
 from strandline.llm.words import Words
 from strandline.llm.words import tokens as words_of
 
@@ -54,3 +54,13 @@ def test_toxicity_words_share_nothing(spark, limit):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.score(docs, labels, broadcast_words=limit).collect()}
     assert len(got) == 604 and math.isclose(got[1000], got[1001], rel_tol=1e-9) and got[1002] > 0.7 > got[1001]
+
+
+def test_copies_and_long_words_hide_no_term(spark):
+    rows = [f"call Zebulon at z@x.org about number {w}" for w in "alpha beta gamma".split()]
+    rows += [rows[0]] * 1000 + [f"plain filler text {i}" for i in range(300)]
+    gap = " " * 200
+    rows += [f"Quixote {'x' * 150}{gap}7 q@y.org,{gap}{'y' * 150} Wolfram {w}" for w in "delta epsilon zeta".split()]
+    found = pii.base_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    got = {r.term for r in pii.disclosing_terms(found).collect()}
+    assert {"zebulon", "quixote", "wolfram"} <= got and "plain" not in got
