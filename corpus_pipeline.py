@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.llm import minhash, mixing, packing, pii, toxicity
-from strandline.session import table
+from strandline.session import dropped, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.7
@@ -46,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The last stage's rows; each earlier stage is written and read again as the next one's docs."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        last, docs = docs, stored(stage(spark, docs, sf_dir))
+        dropped(last)
+    return STAGES[-1][1](spark, docs, sf_dir)
