@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import stored
+from strandline.session import dropped, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _AT = r"[A-Za-z0-9._%+-]"
@@ -23,8 +23,10 @@ PATTERNS = {
 }
 _BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"[^\x20\x09-\x0D]+"
-#: A term discloses an entity if PMI(term; entity) >= IC(entity) / ALPHA, seen in LEAST_TEXTS different texts or more, in CONTEXT words around it.
-ALPHA, LEAST_TEXTS, CONTEXT = 1.25, 3, 5
+#: A term discloses an entity if PMI(term; entity) >= IC(entity) / ALPHA, seen in CONTEXT words around it in LEAST_TEXTS different texts or more.
+ALPHA, LEAST_TEXTS, CONTEXT = 1.25, 2, 5
+#: Rows of terms, and of texts with terms, up to which they are broadcast; beyond it they are joined by key.
+BROADCAST_ROWS = 500_000
 
 
 def _digits(m):
@@ -70,54 +72,78 @@ def _spans(text, pattern: str, rank: int, passes):
     return F.when(text.rlike(pattern), fold).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """docs with `body` (text, null as empty) and `base`: pattern spans sorted by start, then kind."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    kinds = [_spans(F.col("body"), PATTERNS[k], i, lambda m, k=k: _passes(k, m)) for i, k in enumerate(KINDS[:4])]
-    return docs.withColumn("body", body).withColumn("base", F.array_sort(F.concat(*kinds)))
+def _base(body):
+    """Pattern spans of a text column, sorted by start, then kind."""
+    kinds = [_spans(body, PATTERNS[k], i, lambda m, k=k: _passes(k, m)) for i, k in enumerate(KINDS[:4])]
+    return F.array_sort(F.concat(*kinds))
 
 
-def disclosing_terms(found: DataFrame, alpha: float = ALPHA, least: int = LEAST_TEXTS, context: int = CONTEXT) -> DataFrame:
-    """term of each word that discloses an entity: found has body and base.
+def _whole(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs) and body (text, null as empty): names of docs can't clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
 
-    Each different text counts once. p(entity) and p(term) are shares of texts, p(term, entity)
-    of texts where the term is within `context` words of the entity's value. Words with digits
-    or '@', and words of fewer than 4 characters, are no terms.
+
+def _words(body):
+    """The different words of a text that may be terms, lower-cased: 4 characters or more, no digit and no '@'."""
+    return F.filter(F.array_distinct(F.split(F.lower(body), r"[\x20\x09-\x0D]+")), lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9@]"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A stored table for a join: broadcast up to BROADCAST_ROWS rows, else joined by sorted keys."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def disclosing_terms(bodies: DataFrame, alpha: float = ALPHA, least: int = LEAST_TEXTS, context: int = CONTEXT) -> DataFrame:
+    """term of each word that discloses an entity; bodies: (body), a row a text, none null.
+
+    p(entity) and p(term) are shares of all texts, copies counted as often as they occur, and
+    p(term, entity) of texts where the term is within `context` words of the entity's value;
+    at least `least` of these must differ, as one text and its copies show no pattern.
     """
-    texts = found.select("body", "base", F.xxhash64("body").alias("t"))
-    n = texts.agg(F.count_distinct("t").alias("n"))
-    around = texts.where(F.size("base") > 0).dropDuplicates(["t"]).select("t", "body", F.explode("base").alias("s"))
+    n = bodies.count()
+    around = stored(bodies.withColumn("base", _base(F.col("body"))).where(F.size("base") > 0).select("body", F.xxhash64("body").alias("t"), F.explode("base").alias("s"))
+                    .select(*_context(context)))
+    # one row a text and entity, however often the text holds it; equal texts are folded with their number
+    seen = around.groupBy("entity", "t", "part").agg(F.count("*").alias("copies"), F.first("near").alias("near"))
+    seen = stored(seen.groupBy("entity", "t").agg(F.max("copies").alias("copies"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    entities = seen.groupBy("entity").agg(F.sum("copies").alias("ne"))
+    joint = seen.select("entity", "t", "copies", F.explode("near").alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("nj"), F.count("*").alias("texts"))
+    wanted = stored(joint.where(F.col("texts") >= least).join(entities.hint("merge"), "entity"))
+    # all words are counted before any join, so that common ones never multiply
+    counts = bodies.select(F.explode(_words(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
+    pmi, ic = F.expr(f"ln(nj * {n}D / (nt * ne))"), F.expr(f"ln({n}D / ne)")
+    out = stored(counts.join(wanted.hint("merge"), "term").where(pmi >= ic / alpha).select("term").distinct())
+    dropped(around, seen, wanted)
+    return out
+
+
+def _context(context: int):
+    """Columns t, entity, part (which occurrence in the text) and near (terms around it) of rows (body, t, s)."""
     # what touches the value and the next words by position, however far they are in characters
     nearest = rf"^[^\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){{0,{context}}}+"
-    side = lambda c: F.filter(F.split(F.lower(c), r"[\x20\x09-\x0D]+"), lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9@]"))
-    left = side(F.reverse(F.regexp_extract(F.reverse(F.expr("substring(body, 1, cast(s.start AS int))")), nearest, 0)))
-    right = side(F.regexp_extract(F.expr("substring(body, cast(s.stop + 1 AS int))"), nearest, 0))
-    near = around.select("t", F.xxhash64(F.lower("s.value")).alias("entity"), F.explode(F.array_distinct(F.concat(left, right))).alias("term")).distinct()
-    entities = around.select("t", F.xxhash64(F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("ne"))
-    joint = near.groupBy("entity", "term").agg(F.count("*").alias("nj")).where(F.col("nj") >= least)
-    wanted = stored(joint.join(entities, "entity"))
-    words = texts.select("t", F.explode(F.array_distinct(F.split(F.lower("body"), r"[\x20\x09-\x0D]+"))).alias("term"))
-    counts = words.join(wanted.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("nt"))
-    pmi, ic = F.expr("ln(nj * n / (nt * ne))"), F.expr("ln(n / ne)")
-    return wanted.join(counts, "term").crossJoin(F.broadcast(n)).where(pmi >= ic / alpha).select("term").distinct()
+    left = _words(F.reverse(F.regexp_extract(F.reverse(F.expr("substring(body, 1, cast(s.start AS int))")), nearest, 0)))
+    right = _words(F.regexp_extract(F.expr("substring(body, cast(s.stop + 1 AS int))"), nearest, 0))
+    return ["t", F.xxhash64(F.lower("s.value")).alias("entity"), F.col("s.start").alias("part"), F.array_union(left, right).alias("near")]
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """docs with `body`, `base` and `spans` (all spans, those of disclosing terms included, sorted).
+    """docs with `body` (text, null as empty), `base` (pattern spans) and `spans` (those of disclosing terms added, sorted).
 
     A term's span is an occurrence of it as a whole word, in any document. Null texts are
-    empty. Repeated rows each get the same spans; other columns stay, but for those three names.
+    empty. Repeated rows each get the same spans; null ids are a value like others; other
+    columns stay, whatever their names, but for those three. Empty input gives no rows.
     """
-    found = base_spans(docs.drop("body", "base", "spans"))
-    terms = stored(disclosing_terms(found))
-    listed = terms.agg(F.count("*").alias("k")).first()["k"]
-    if not listed:
-        return found.withColumn("spans", F.col("base"))
-    words = found.select(F.xxhash64("body").alias("t"), F.explode(F.array_distinct(F.split(F.lower("body"), r"[\x20\x09-\x0D]+"))).alias("term"))
-    hits = stored(words.join(terms, "term").groupBy("t").agg(F.collect_set("term").alias("terms")))
-    joined = found.withColumn("t", F.xxhash64("body")).join(hits, "t", "left").drop("t")
-    extra = F.when(F.col("terms").isNotNull(), _spans(F.col("body"), WORD, 4, lambda m: F.array_contains(F.col("terms"), F.lower(m)))).otherwise(F.expr(f"cast(array() as {SPAN})"))
-    return joined.withColumn("spans", F.array_sort(F.concat("base", extra))).drop("terms")
+    whole = _whole(docs.drop("body", "base", "spans"))
+    terms = disclosing_terms(whole.select("body"))
+    spans = F.col("base")
+    if not terms.isEmpty():
+        words = whole.select(F.xxhash64("body").alias("t"), F.explode(_words(F.col("body"))).alias("term"))
+        hits = stored(words.join(_sized(terms), "term").groupBy("t").agg(F.collect_set("term").alias("terms")))
+        whole = whole.withColumn("t", F.xxhash64("body")).join(_sized(hits), "t", "left")
+        none = F.expr(f"cast(array() as {SPAN})")
+        extra = F.when(F.col("terms").isNotNull(), _spans(F.col("body"), WORD, 4, lambda m: F.array_contains(F.col("terms"), F.lower(m)))).otherwise(none)
+        spans = F.array_sort(F.concat("base", extra))
+    return whole.withColumn("base", _base(F.col("body"))).withColumn("spans", spans).select("row.*", "body", "base", "spans")
 
 
 def _listed(spans, kind_names=KINDS):
