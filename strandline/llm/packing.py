@@ -5,21 +5,20 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import defaultdict
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.pieces import Pieces
 from strandline.llm.words import chunks
 from strandline.session import ensure_workers, stored
 
 WINDOW = 1024
 #: About so many documents are packed by one task, at every input size.
 BLOCK = 32768
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def vocabulary_path() -> str:
@@ -28,26 +27,24 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: A space before anything but white space always begins a pre-token, so texts are cut there and equal pieces are tokenized once.
-CUT = re.compile(r"(?= \S)")
 #: A piece that keeps its tokens in a line of its own, and so many lines make one text.
 LINE, LINES = re.compile(r" ?\S+"), 1000
 #: A worker's tokenized pieces are forgotten past so many pieces or ids.
 MOST_PIECES, MOST_IDS = 1_000_000, 8_000_000
 
 
-class Pieces:
+class Tokenized:
     """Token ids of pieces seen before, in one array."""
 
     def __init__(self, tok):
         self.tok = tok
         line = tok.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self):
-        self.place: dict[str, int] = defaultdict()  # a new piece gets the next number
-        self.place.default_factory = self.place.__len__
+        self.place: dict[int, int] = {}
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -60,38 +57,46 @@ class Pieces:
         return at
 
     def _learn(self, new: list[str]) -> None:
-        """Tokenize new pieces: those without inner white space as lines of one text, others alone."""
-        inline = np.fromiter((self.line is not None and LINE.fullmatch(x) is not None for x in new), bool, len(new))
+        """Tokenize new pieces: those without inner white space or added tokens as lines of one text, others alone.
+
+        A line break that ends such a piece is the line's own.
+        """
+        broken = np.fromiter((x.endswith("\n") for x in new), bool, len(new))
+        bare = [x[:-1] if b else x for x, b in zip(new, broken, strict=True)]
+        plain = lambda x: LINE.fullmatch(x) is not None and not any(t in x for t in self.added)
+        inline = np.fromiter((self.line is not None and plain(x) for x in bare), bool, len(new))
         start, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         together = np.flatnonzero(inline)
         for a in range(0, len(together), LINES):
             part = together[a : a + LINES]
-            ids = np.array(self.tok.encode_batch_fast(["\n".join([new[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast(["".join([bare[i] + "\n" for i in part])], add_special_tokens=False)[0].ids, "<u4")
             breaks = np.flatnonzero(ids == self.line)
-            first = np.concatenate(([0], breaks + 1))
+            first = np.concatenate(([0], breaks[:-1] + 1))
             start[part] = first + self._put(ids)
-            size[part] = np.concatenate((breaks, [len(ids)])) - first
+            size[part] = breaks - first + broken[part]
         alone = np.flatnonzero(~inline)
         for i, e in zip(alone, self.tok.encode_batch_fast([new[i] for i in alone], add_special_tokens=False), strict=True):
             start[i], size[i] = self._put(e.ids), len(e.ids)
         self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
 
-    def tokenized(self, texts: list[str]) -> list[np.ndarray]:
+    def of(self, parts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, the same as of the whole text at once."""
         if len(self.place) > MOST_PIECES or self.used > MOST_IDS:
             self.clear()
-        known, places = len(self.place), []
-        for t in texts:
-            pieces = CUT.split(t)
-            places.append(np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces)))
-        new = list(islice(reversed(self.place), len(self.place) - known))
-        if new:
-            self._learn(new[::-1])
-        out = []
-        for at in places:
-            n = self.size[at]
-            out.append(self.ids[np.arange(n.sum()) + np.repeat(self.start[at] - np.cumsum(n) + n, n)])
-        return out
+        p = Pieces(parts)
+        kinds, at, back = np.unique(p.hash, return_index=True, return_inverse=True)
+        place = np.fromiter((self.place.get(h, -1) for h in kinds.tolist()), np.int64, len(kinds))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.start) + np.arange(len(new))
+            self.place.update(zip(kinds[new].tolist(), place[new].tolist(), strict=True))
+            self._learn([p.piece(i).decode("utf-8", "surrogatepass") for i in at[new]])
+        place = place[back]
+        n = self.size[place]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[place] - ends[:-1], n)]
+        bounds = ends[p.first]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _tokenize(path: str | None, window: int):
@@ -100,13 +105,12 @@ def _tokenize(path: str | None, window: int):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path or vocabulary_path())
-        tok.encode_special_tokens = True
-        known = Pieces(tok)
+        known = Tokenized(tok)
         for pdf in batches:
             ids = pdf["doc_id"].to_numpy()
             for first, parts in chunks(pdf["text"], 1_000_000):
                 counts, crcs = [], []
-                for found in known.tokenized([p.decode("utf-8", "surrogatepass") for p in parts]):
+                for found in known.of(parts):
                     a = np.append(found, np.uint32(0))
                     counts.append(len(a))
                     crcs.append([zlib.crc32(a[i : i + window]) for i in range(0, len(a), window)])
@@ -148,7 +152,7 @@ def sum_of_squares(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.nda
 
 def _pack(window: int):
     def run(key, pdf):
-        pdf = pdf.sort_values(["h", "doc_id", "n"], kind="stable")
+        pdf = pdf.sort_values(["h", "n"], kind="stable")
         base, doc, n = int(key[0]) << 36, pdf["doc_id"].to_numpy(), pdf["n"].to_numpy()
         rest = n % window
         part = np.flatnonzero(rest)
@@ -174,12 +178,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, b
     that id). It is cut into whole windows and one shorter rest; rests are packed by the
     sum-of-squares rule in blocks of about `block` documents, in hash order. Windows are
     padded to the window's length after their last piece. Rows with a null doc_id come back
-    with null; repeated rows are packed each. Empty input gives no rows. vocabulary: a path
+    with null; repeated rows are packed each, ties in a block by length. Other columns are
+    ignored whatever their names. Empty input gives no rows. vocabulary: a path
     readable on each worker; by default the public byte-level one.
     """
     ensure_workers(docs.sparkSession)
-    rows = stored(docs.select("doc_id", "text").mapInPandas(_tokenize(vocabulary, window), "doc_id long, n long, crcs array<long>"))
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_tokenize(vocabulary, window), "doc_id string, n long, crcs array<long>"))
     h = F.xxhash64("doc_id", "n")
     blocks = max(1, -(-rows.count() // block))
     dealt = rows.withColumn("h", h).withColumn("block", F.pmod(F.xxhash64("doc_id", "n", "crcs"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(_pack(window), PIECES)
+    return dealt.groupBy("block").applyInPandas(_pack(window), PIECES).withColumn("doc_id", F.col("doc_id").cast(kind))

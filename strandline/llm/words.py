@@ -59,6 +59,14 @@ def chunks(texts, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]
         yield first, held
 
 
+def spans_hash(a: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """uint64 hash of the bytes a[start:stop] of each span, the same wherever they stand."""
+    up, down = _powers(len(a) + 1)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_BYTE[a] * up[: len(a)], out=sums[1:])
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
 class Words:
     """Words of a chunk: doc (index of the text), start and stop (bytes of buf), hash (uint64)."""
 
@@ -77,10 +85,7 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n_docs), self.count)
         if hashes:
-            up, down = _powers(len(a) + 1)
-            sums = np.zeros(len(a) + 1, np.uint64)
-            np.cumsum(_BYTE[a] * up[: len(a)], out=sums[1:])
-            self.hash = mix((sums[self.stop] - sums[self.start]) * down[self.start] + (self.stop - self.start).astype(np.uint64))
+            self.hash = spans_hash(a, self.start, self.stop)
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.stop[i]]
