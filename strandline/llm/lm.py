@@ -5,7 +5,10 @@ q = floor(2 log2 c) and each n-gram is put into the filter with 0..q; its count
 by probing q = 0, 1, ... until a probe fails. The filter is blocked: an n-gram's probes stay
 in one block, so blocks are built apart from each other and their number follows what is
 inserted, without a bound. A filter too large to broadcast is probed by a join on the block.
-Base scores use exact word counts, by a broadcast table below a size limit and by a join above.
+Single words have P(w) = (q(w) + 1/2) / (sum of all q + (V + 1) / 2), q being the count read
+back; pairs P(w | v) = LAMBDA * min(q(v w), q(v)) / q(v) + (1 - LAMBDA) * P(w).
+Base scores use exact word counts: the most frequent words are broadcast, up to a bound, and
+tokens of all other words are joined.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from strandline.session import ensure_workers, stored
 
 #: A block of BLOCK_BITS bits takes so many insertions on average (17 % of its bits set); up to MOST_BLOCKS (256 MB) the filter is broadcast.
 BLOCK_BITS, INSERTIONS_A_BLOCK, MOST_BLOCKS, PROBES = 1 << 15, 1 << 11, 1 << 16, 3
-#: Distinct words (16 bytes each) up to which the exact counts are broadcast.
-BROADCAST_WORDS = 2_000_000
+#: Exact counts of so many words, the most frequent ones, are broadcast at most (16 bytes each).
+BROADCAST_WORDS, MOST_FLOOR = 1_000_000, 1_000
+#: N-grams that a task holds before it passes their counts on.
+HELD = 2_000_000
 LAMBDA = 0.6
 END = np.uint64(0x51ED270B35B1A9C7)
 _LEVELS = 80
@@ -44,18 +49,39 @@ def _pair(before, token):
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(token + np.uint64(77)))
 
 
+def _summed(held):
+    """(kind, h, n) of held (kind, h, n) arrays, each n-gram once."""
+    for kind in (1, 2):
+        h = np.concatenate([x for k, x, _ in held if k == kind] or [np.zeros(0, np.uint64)])
+        n = np.concatenate([x for k, _, x in held if k == kind] or [np.zeros(0, np.int64)])
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        for a in range(0, len(first), 1 << 18):
+            at = first[a : a + (1 << 18)]
+            end = first[a + (1 << 18)] if a + (1 << 18) < len(first) else len(h)
+            yield pd.DataFrame({"kind": np.full(len(at), kind), "h": h[at].view(np.int64), "n": np.add.reduceat(n[:end], at)})
+
+
 def _grams(batches):
+    held, size = [], 0
     for pdf in batches:
         for _, parts in chunks(pdf["text"]):
             _, token, before = _sequence(Words(parts))
             for kind, h in ((1, token), (2, _pair(before, token))):
                 k, n = np.unique(h, return_counts=True)
-                yield pd.DataFrame({"kind": np.full(len(k), kind), "h": k.view(np.int64), "n": n})
+                held.append((kind, k, n))
+                size += len(k)
+            if size > HELD:
+                yield from _summed(held)
+                held, size = [], 0
+    yield from _summed(held)
 
 
 def _slots(h: np.ndarray, q: np.ndarray):
-    """(len, PROBES) bit places within a block."""
-    return np.stack([(mix(h * np.uint64(31) + q.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(i)) % np.uint64(BLOCK_BITS)).astype(np.int64) for i in range(PROBES)], axis=1)
+    """(len, PROBES) bit places within a block, from one 64-bit hash."""
+    x = mix(h * np.uint64(31) + q.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    return np.stack([((x >> np.uint64(15 * i + 4)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for i in range(PROBES)], axis=1)
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -95,45 +121,48 @@ class Filter:
         return np.where(found < 0, 0.0, 2.0 ** ((found + 0.5) / 2))[back]
 
 
-def _probability(one, prior, two, total: int, kinds: int):
+def read_back(n):
+    """The count that the filter gives for a count n >= 1."""
+    return 2.0 ** ((np.floor(2 * np.log2(n)) + 0.5) / 2)
+
+
+def _probability(one, prior, two, total: float, kinds: int):
+    """total: of the counts as read back."""
     p1 = (one + 0.5) / (total + 0.5 * (kinds + 1))
     two = np.minimum(two, prior)
-    return np.minimum(np.where(prior > 0, LAMBDA * two / np.maximum(prior, 1) + (1 - LAMBDA) * p1, p1), 1.0)
+    return np.where(prior > 0, LAMBDA * two / np.where(prior > 0, prior, 1.0) + (1 - LAMBDA) * p1, p1)
 
 
-def _model_rows(bc, total: int, kinds: int, table_bc):
+def _scored(bc, table_bc, total: int, kinds: int, total_q: float):
+    """Scores by the filter (bc; None: left at 0), base scores of tokens in the table, and the other tokens with their numbers."""
     def run(batches):
-        bloom = bc.value
+        h, c = table_bc.value
         for pdf in batches:
-            ids = pdf["doc_id"]
+            ids, rows = pdf["doc_id"].to_numpy(), pdf["row"].to_numpy()
             for first, parts in chunks(pdf["text"]):
                 doc, token, before = _sequence(Words(parts))
-                one = bloom.counts(token)
-                prior = np.where(before == 0, 0.0, bloom.counts(before))
-                p = _probability(one, prior, bloom.counts(_pair(before, token)), total, kinds)
-                n = len(parts)
-                out = {"doc_id": ids.iloc[first : first + n].to_numpy(), "n_tokens": np.bincount(doc, minlength=n), "score": np.bincount(doc, np.log10(p), n)}
-                if "row" in pdf:
-                    out["row"] = pdf["row"].iloc[first : first + n].to_numpy()
-                if table_bc is not None:
-                    h, c = table_bc.value
-                    at = np.minimum(np.searchsorted(h, token), max(len(h) - 1, 0))
-                    n_exact = np.where(h[at] == token, c[at], 0) if len(h) else np.zeros(len(token))
-                    out |= {"n_known": np.bincount(doc, n_exact > 0, n).astype(np.int64), "base_score": np.bincount(doc, np.log10((n_exact + 0.5) / (total + 0.5 * (kinds + 1))), n)}
-                yield pd.DataFrame(out)
+                n, score = len(parts), np.zeros(len(parts))
+                if bc is not None:
+                    prior = np.where(before == 0, 0.0, bc.value.counts(before))
+                    p = _probability(bc.value.counts(token), prior, bc.value.counts(_pair(before, token)), total_q, kinds)
+                    score = np.bincount(doc, np.log10(p), n)
+                at = np.minimum(np.searchsorted(h, token), max(len(h) - 1, 0))
+                listed = h[at] == token if len(h) else np.zeros(len(token), bool)
+                exact = np.where(listed, c[at] if len(h) else 0, 0)
+                base = np.where(listed, np.log10((exact + 0.5) / (total + 0.5 * (kinds + 1))), 0.0)
+                rest = np.flatnonzero(~listed)
+                rest = rest[np.lexsort((token[rest], doc[rest]))]
+                new = np.concatenate(([True], (doc[rest][1:] != doc[rest][:-1]) | (token[rest][1:] != token[rest][:-1]))) if len(rest) else np.zeros(0, bool)
+                start = np.flatnonzero(new)
+                k, other = np.diff(np.concatenate((start, [len(rest)]))), rest[start]
+                cuts = np.searchsorted(doc[other], np.arange(n + 1))
+                yield pd.DataFrame({
+                    "doc_id": ids[first : first + n], "row": rows[first : first + n], "n_tokens": np.bincount(doc, minlength=n), "score": score,
+                    "n_known": np.bincount(doc, listed, n).astype(np.int64), "base_score": np.bincount(doc, base, n),
+                    "h": [token[other[a:b]].view(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "k": [k[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
     return run
 
 
-def _token_rows(batches):
-    for pdf in batches:
-        ids = pdf["row"]
-        for first, parts in chunks(pdf["text"]):
-            doc, token, _ = _sequence(Words(parts))
-            f = pd.DataFrame({"row": doc + first, "h": token.view(np.int64)}).value_counts().rename("k").reset_index()
-            f["row"] = ids.to_numpy()[f["row"]]
-            yield f
-
-
 def _pair_rows(batches):
     for pdf in batches:
         ids = pdf["row"]
@@ -154,7 +183,7 @@ def _block(h: str, blocks: int):
     return F.expr(f"cast(pmod(pmod(shiftrightunsigned({h}, 1), {blocks}) * 2 + ({h} & 1), {blocks}) AS int)")
 
 
-def _joined_model(rows: DataFrame, filled: DataFrame, blocks: int, total: int, kinds: int) -> DataFrame:
+def _joined_model(rows: DataFrame, filled: DataFrame, blocks: int, total: float, kinds: int) -> DataFrame:
     """row, n_tokens, score of each of rows (row, text), row being distinct; no part of the filter but one block is held at once."""
     seen = stored(rows.mapInPandas(_pair_rows, "row long, h long, b long, k long, pair long"))
     pairs = seen.groupBy("pair").agg(F.first("h").alias("h"), F.first("b").alias("b"))
@@ -177,38 +206,48 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, most_blocks:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text).
 
     Null texts are empty and have the end token only. Training rows are those whose
-    crc32(doc_id as text) mod 5 is not 1 (null ids don't train). Without training rows N and
-    V are 0 and every token has log10(1).
+    crc32(doc_id as text) mod 5 is not 1; null ids don't train and aren't held out. Repeated
+    rows train and come back each. Without training rows N and V are 0 and every token has
+    log10(1). Other columns are ignored whatever their names. Empty input gives no rows.
     """
     spark = docs.sparkSession
     ensure_workers(spark)
+    kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text")
     train = docs.where(remainder("doc_id", 5) != 1).select("text")
     grams = stored(train.mapInPandas(_grams, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")))
-    words = grams.where("kind = 1")
-    total, kinds = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
-    insertions = int(grams.agg(F.sum(F.expr("floor(2 * log2(n)) + 1"))).first()[0] or 0)
+    words = grams.where("kind = 1").select("h", "n")
+    level = F.expr(f"least(floor(2 * log2(n) + 1e-9), {_LEVELS - 1})")  # log2 of 8 is not quite 3 there
+    sums = words.agg(F.sum("n"), F.count("*"), F.sum(F.pow(F.lit(2.0), (level + 0.5) / 2))).first()
+    total, kinds, total_q = int(sums[0] or 0), int(sums[1]), float(sums[2] or 0.0)
+    insertions = int(grams.agg(F.sum(level + 1)).first()[0] or 0)
     blocks = max(1, -(-insertions // INSERTIONS_A_BLOCK))
     filled = grams.select("h", "n", _block("h", blocks).alias("block")).groupBy("block").applyInPandas(_fill, "block int, bits binary")
     small = blocks <= most_blocks
     bc = spark.sparkContext.broadcast(Filter(blocks, filled.toLocalIterator())) if small else None
-    held = (remainder("doc_id", 5) == 1).alias("held_out")
-    if small and kinds <= broadcast_words:
-        t = fetched(words.select("h", "n"))
-        h = t["h"].view(np.uint64)
-        order = np.argsort(h)
-        table = spark.sparkContext.broadcast((h[order], t["n"][order]))
-        out = docs.mapInPandas(_model_rows(bc, total, kinds, table), "doc_id long, n_tokens long, score double, n_known long, base_score double")
-    else:
+    # the least count from which on words fit the broadcast table
+    by = {r["c"]: r["w"] for r in words.groupBy(F.least("n", F.lit(MOST_FLOOR)).alias("c")).agg(F.count("*").alias("w")).collect()}
+    floor = next((c for c in range(1, MOST_FLOOR + 1) if sum(w for n, w in by.items() if n >= c) <= broadcast_words), None)
+    t = fetched(words.where(F.col("n") >= floor if floor else F.lit(False)))
+    order = np.argsort(t["h"].view(np.uint64))
+    table = spark.sparkContext.broadcast((t["h"].view(np.uint64)[order], t["n"][order]))
+    # rows alike in id and text share a key and are alike in all that follows
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    out = stored(keyed.mapInPandas(_scored(bc, table, total, kinds, total_q), "doc_id string, row long, n_tokens long, score double, n_known long, base_score double, h array<long>, k array<long>"))
+    if floor != 1:
+        rest = words.where(F.col("n") < floor) if floor else words
+        asked = out.where(F.size("h") > 0).dropDuplicates(["row"]).select("row", F.explode(F.arrays_zip("h", "k")).alias("x")).select("row", "x.h", "x.k")
         base = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * (kinds + 1)))
-        # rows alike in id and text share a key and are counted once, then joined to each
-        numbered = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-        once = numbered.dropDuplicates(["row"])
-        exact = (once.mapInPandas(_token_rows, "row long, h long, k long").join(words.select("h", "n"), "h", "left").groupBy("row")
-                 .agg(F.sum(F.expr("CASE WHEN n > 0 THEN k ELSE 0 END")).alias("n_known"), F.sum(F.col("k") * base).alias("base_score"), F.sum(F.expr("k")).alias("all")))
-        if small:
-            model = numbered.mapInPandas(_model_rows(bc, total, kinds, None), "doc_id long, n_tokens long, score double, row long")
-        else:
-            model = numbered.select("doc_id", "row").join(_joined_model(once.select("row", "text"), filled, blocks, total, kinds), "row")
-        out = model.join(exact, "row", "left")
-    return out.select("doc_id", held, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        more = asked.join(rest.hint("merge"), "h", "left").groupBy("row").agg(F.sum(F.expr("CASE WHEN n > 0 THEN k ELSE 0 END")).alias("known"), F.sum(F.col("k") * base).alias("more"))
+    else:
+        # what the table doesn't list was never seen
+        base = float(np.log10(0.5 / (total + 0.5 * (kinds + 1))))
+        more = None
+        out = out.withColumn("base_score", F.col("base_score") + F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x) * base)
+    if more is not None:
+        out = out.join(more.hint("merge"), "row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0)))
+    if not small:
+        once = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").dropDuplicates(["row"])
+        out = out.drop("score").join(_joined_model(once, filled, blocks, total_q, kinds).select("row", "score").hint("merge"), "row")
+    held = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), held, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
