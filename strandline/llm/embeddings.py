@@ -9,6 +9,8 @@ never its list of pairs.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from strandline.llm.components import components
 from strandline.session import ensure_workers, stored
 
-#: A pair at cosine 0.98 is in one bucket of a table with odds (1 - acos(0.98)/pi)^BITS = 0.52, so TABLES miss it with odds 9e-6.
-TABLES, BITS, SEED, BLOCK = 16, 10, 5, 512
+#: Fewest sign bits of a key; they grow with the vectors so that random ones would share a bucket with about BUCKET others.
+BITS, MOST_BITS, BUCKET, SEED, BLOCK = 10, 24, 64, 5, 512
+#: So many tables that a pair at the least cosine shares a bucket of none with these odds at most.
+MISSED = 1e-5
 #: Rows that one comparing call takes, about.
 ROWS = 8192
 
@@ -28,16 +32,22 @@ def usable(col: str = "embedding"):
     return F.expr(f"{col} IS NOT NULL AND size({col}) > 0 AND forall({col}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists({col}, x -> x <> 0)")
 
 
-def _keys(batches):
+def tables(bits: int, least: float, missed: float = MISSED) -> int:
+    """A pair at cosine `least` is in one bucket of a table with odds (1 - acos(least) / pi)^bits."""
+    same = (1 - np.arccos(least) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(missed) / np.log1p(-same))))
+
+
+def _keys(batches, bits_of: int, tables_of: int):
     for pdf in batches:
         if not len(pdf):
             continue
         for dim, part in pdf.groupby(pdf["embedding"].map(len)):
             x = np.array(part["embedding"].tolist(), np.float64).reshape(len(part), dim)
             x /= np.abs(x).max(axis=1, keepdims=True)
-            planes = np.random.default_rng(SEED + dim).standard_normal((dim, TABLES * BITS))
-            bits = (x @ planes > 0).reshape(len(part), TABLES, BITS)
-            keys = (bits * (1 << np.arange(BITS))).sum(axis=2).astype(np.int32)
+            planes = np.random.default_rng(SEED + dim).standard_normal((dim, tables_of * bits_of))
+            bits = (x @ planes > 0).reshape(len(part), tables_of, bits_of)
+            keys = (bits * (1 << np.arange(bits_of))).sum(axis=2).astype(np.int32)
             yield pd.DataFrame({"rep": part["rep"], "copies": part["copies"], "label": part["label"], "dim": np.full(len(part), dim), "embedding": [v.tobytes() for v in np.array(part["embedding"].tolist(), np.float64)], "keys": list(keys)})
 
 
@@ -109,8 +119,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     Vectors are linked if their labels are equal and not null, their lengths are equal and
     their cosine in double precision is at least `least`. Null, empty or zero vectors, and
-    those with null or non-finite components, are linked with nothing. Repeated rows of a
-    vec_id count as separate vectors in n_links. Every bucket is compared whole.
+    those with null or non-finite components, are linked with nothing, and so are rows with a
+    null vec_id. Repeated rows of a vec_id come back each and count as separate vectors in
+    n_links. Every bucket is compared whole. Other columns are ignored whatever their names.
+    Empty input gives no rows.
     """
     spark = vectors.sparkSession
     ensure_workers(spark)
@@ -120,7 +132,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     ok = ok.withColumn("fp_a", F.xxhash64("embedding")).withColumn("fp_b", F.hash("embedding"))
     members = stored(ok)
     reps = members.groupBy("label", "fp_a", "fp_b").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    keyed = stored(reps.select("rep", "copies", "label", "embedding").mapInPandas(_keys, f"rep long, copies long, label {dict(vectors.dtypes)['label']}, dim int, embedding binary, keys array<int>"))
+    bits = int(np.clip(np.ceil(np.log2(max(members.count(), 1) / BUCKET)), BITS, MOST_BITS))
+    keys = partial(_keys, bits_of=bits, tables_of=tables(bits, least))
+    keyed = stored(reps.select("rep", "copies", "label", "embedding").mapInPandas(keys, f"rep long, copies long, label {dict(vectors.dtypes)['label']}, dim int, embedding binary, keys array<int>"))
     spread = keyed.select("rep", "label", "dim", F.posexplode("keys").alias("t", "key"))
     sizes = spread.groupBy("label", "dim", "t", "key").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     full = keyed.select("*", F.posexplode("keys").alias("t", "key"))
@@ -139,4 +153,4 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     linked = members.select("vec_id", "label", "fp_a", "fp_b").join(ids, ["label", "fp_a", "fp_b"]).join(known, "rep").select(
         "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     alone = rows.where(~F.coalesce(linkable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
