@@ -99,13 +99,12 @@ def test_tokens_of_pieces_are_those_of_the_text():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.vocabulary_path())
-    tok.encode_special_tokens = True
     rng = np.random.default_rng(4)
     signs = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u0085", "\x1c", "\u200b", "a", "'s", "Don't", "7", "42", "!?", "é", "中文", "😀", "<|endoftext|>", "\r\n", "-", "word"]
     texts = ["", " ", "  a", "a  "] + ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(3000)]
-    known = packing.Pieces(tok)
+    known = packing.Tokenized(tok)
     for _ in range(2):
-        assert [x.tolist() for x in known.tokenized(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in known.of([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing(docs, empty):
@@ -216,17 +215,21 @@ def test_learned_scores(spark, docs):
         assert mod.predict(docs, none).count() == len(TEXTS)
 
 
-def test_token_counts(docs):
+def test_token_counts(spark, docs):
     vocab = tokens.pieces()
+    longest = max(map(len, vocab))
 
-    def best(word):
+    def best(text):
         f = [(0.0, 0)]
-        for i in range(1, len(word) + 1):
-            options = [(f[a][0] + vocab.get(word[a:i], tokens.UNKNOWN if i - a == 1 else -math.inf), f[a][1] - 1) for a in range(max(0, i - tokens.MOST_BYTES), i)]
+        for i in range(1, len(text) + 1):
+            options = [(f[a][0] + vocab.get(text[a:i], tokens.UNKNOWN if i - a == 1 else -math.inf), f[a][1] - 1) for a in range(max(0, i - longest), i)]
             f.append(max(options))
         return -f[-1][1]
 
-    got = {r.doc_id: (r.n_words, r.n_tokens) for r in tokens.count(docs).collect()}
-    for i, t in enumerate(TEXTS):
-        if not t or len(t) < 1000:
-            assert got[i] == (len(words_of(t)), sum(best(b" " + w.encode()) for w in words_of(t)))
+    more = ["Case KEPT here\nand  two  spaces.\nNext", "x" * 3000, "-" * 700 + " end", "\n\n\t tail ", "é中文 😀\u00a0\n b"]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in tokens.count(rows).collect()}
+    for i, t in [*enumerate(TEXTS), *enumerate(more, 100)]:
+        if not t or len(t) <= 3000:  # the whole text at once, no pre-tokens
+            assert got[i] == (len(words_of(t)), best((t or "").encode()))
+    assert len(got) == len(TEXTS) + len(more)
