@@ -12,15 +12,18 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents scored below TOXIC stay; the models learn from this stage's own input."""
-    bad = toxicity.score(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= TOXIC).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows scored below TOXIC stay; the models learn from this stage's own input. Null texts and ids are scored like others."""
+    return toxicity.kept(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), TOXIC)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays: the one with the least id."""
-    found = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(found, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each near-duplicate group stays: the one with the least id.
+
+    Rows with a null id or without words have no copies and stay; rows that repeat an id stay or go together.
+    """
+    found = minhash.near_duplicates(docs)
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def sanitise(spark, docs, sf_dir):
@@ -30,10 +33,9 @@ def sanitise(spark, docs, sf_dir):
 
 
 def mix(spark, docs, sf_dir):
-    """Each document as often as the mix takes it: no, one or two rows."""
-    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies").distinct()
-    rows = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*COLUMNS)
+    """Each row as often as the mix takes it: no, one or two times. Null ids and sources are values like others."""
+    rows = mixing.mixed(docs.select(*COLUMNS)).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def pack(spark, docs, sf_dir):
