@@ -1,116 +1,8 @@
-"""Registry of named queries over the driver's tables and of their DuckDB twins."""
+"""All named queries over the driver's tables and their DuckDB twins."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from strandline.plans import frontier, indices, kappa, paths, relational, replay, statistics  # noqa: F401  each registers its own
+from strandline.registry import ORACLE_SQL, QUERIES
 
-from strandline.functions import weighted
-from strandline.operators import flow, replay
-from strandline.session import table
-from strandline.sources import lattice
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-_GRAPH = f"""c AS (SELECT c_custkey AS a FROM customer),
-pairs AS (SELECT a, b FROM (SELECT a, a + 1 AS b FROM c WHERE a % {lattice.WIDE} < {lattice.WIDE - 1} UNION ALL SELECT a, a + {lattice.WIDE} FROM c) p
-  WHERE b IN (SELECT a FROM c) AND (a * 7919 + b * 104729) % 100 >= {lattice.REMOVED}),
-ways AS (SELECT a, b, CASE WHEN (a * 31 + b * 17) % 10 >= 3 THEN 2 ELSE (a * 13 + b * 7) % 2 END AS way, CAST(50 + (a * 37 + b * 11) % 100 AS DOUBLE) AS w FROM pairs),
-arcs AS (SELECT a AS u, b AS v, w FROM ways WHERE way <> 1 UNION ALL SELECT b, a, w FROM ways WHERE way <> 0),
-goals AS (SELECT DISTINCT (s_suppkey * 37 + 11) % (SELECT count(*) FROM customer) AS node FROM supplier WHERE s_suppkey % 4 = 0),
-zones AS (SELECT o_custkey AS d, o_orderpriority AS stratum, CAST(count(*) AS DOUBLE) AS w FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1, 2)"""
-_KAPPA2 = f"""WITH RECURSIVE {_GRAPH},
-reach(ru, rv, x) AS (SELECT a.u, a.v, g.node FROM arcs a, goals g UNION SELECT r.ru, r.rv, e.u FROM reach r JOIN arcs e ON e.v = r.x AND NOT (e.u = r.ru AND e.v = r.rv)),
-nodes AS (SELECT DISTINCT d FROM zones WHERE d IN (SELECT u FROM arcs UNION SELECT v FROM arcs)),
-hits AS (SELECT x, count(*) AS n FROM reach GROUP BY x),
-kappa AS (SELECT d, CASE WHEN d IN (SELECT node FROM goals) THEN NULL WHEN n IS NULL THEN 0 WHEN n < (SELECT count(*) FROM arcs) THEN 1 ELSE 2 END AS k2 FROM nodes LEFT JOIN hits ON x = d)
-"""
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-    return add
-
-
-def _kappa(spark, sf_dir, orientation="DA"):
-    return flow.route_counts(lattice.arcs(spark, sf_dir), lattice.demands(spark, sf_dir), lattice.access(spark, sf_dir), orientation)
-
-
-def _twin_demands(spark, sf_dir):
-    """The third of the demand nodes that zones in _GRAPH holds; g3 and g6 are bound to their SQL."""
-    return lattice.demands(spark, sf_dir).where("d % 3 = 0")
-
-
-def _twin_kappa(spark, sf_dir):
-    return flow.route_counts(lattice.arcs(spark, sf_dir), _twin_demands(spark, sf_dir), lattice.access(spark, sf_dir, "s_suppkey % 4 = 0"))
-
-
-@query(_KAPPA2 + """SELECT stratum, count(*) AS n, sum(CASE WHEN k2 = 0 THEN w ELSE 0 END) / sum(w) AS w0, sum(CASE WHEN k2 = 1 THEN w ELSE 0 END) / sum(w) AS w1,
- sum(CASE WHEN k2 = 2 THEN w ELSE 0 END) / sum(w) AS w2 FROM zones JOIN kappa USING (d) WHERE k2 IS NOT NULL GROUP BY GROUPING SETS ((stratum), ())""")
-def g3_kappa_summary(spark, sf_dir):
-    """Shares of demand weight with 0, 1 and 2 or more edge-disjoint routes, a stratum and pooled (null)."""
-    z = _twin_demands(spark, sf_dir).join(_twin_kappa(spark, sf_dir).where("NOT colocated").select("d", "kappa"), "d")
-    k, w = F.col("kappa"), F.col("w")
-    return z.groupingSets([[F.col("stratum")], []], "stratum").agg(
-        F.count("*").alias("n"), weighted.share(k == 0, w).alias("w0"), weighted.share(k == 1, w).alias("w1"), weighted.share(k >= 2, w).alias("w2"))
-
-
-@query(_KAPPA2 + "SELECT d, CAST(k2 AS INTEGER) AS k2, d IN (SELECT node FROM goals) AS colocated FROM kappa")
-def g6_kappa_capped(spark, sf_dir):
-    """min(kappa, 2) of each demand node."""
-    return _twin_kappa(spark, sf_dir).select("d", F.when(F.col("kappa").isNotNull(), F.least("kappa", F.lit(2))).cast("int").alias("k2"), "colocated")
-
-
-@query()
-def g2_kappa_access_to_demand(spark, sf_dir):
-    return _kappa(spark, sf_dir, "AD").select("d", "kappa", "colocated", F.size("cut").alias("n_cut"))
-
-
-@query()
-def g13_cut_criticality(spark, sf_dir):
-    """Demand weight that each arc cuts off as the single minimum cut, for all arcs."""
-    w = lattice.demands(spark, sf_dir).groupBy("d").agg(F.sum("w").alias("w"))
-    cuts = _kappa(spark, sf_dir).where("kappa = 1").join(w, "d").select(F.explode("cut").alias("e"), "w").groupBy("e.u", "e.v").agg(F.sum("w").alias("cutcrit"))
-    return lattice.arcs(spark, sf_dir).select("u", "v").join(cuts, ["u", "v"], "left").select("u", "v", F.coalesce("cutcrit", F.lit(0.0)).alias("cutcrit"))
-
-
-@query(f"WITH {_GRAPH} SELECT u, v, min(w) AS w FROM arcs GROUP BY u, v")
-def r49_collapse(spark, sf_dir):
-    return flow.collapse(lattice.arcs(spark, sf_dir))
-
-
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) / sum(l_quantity) AS w1
- FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus))""")
-def r24_pooled_share(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
-    return df.groupingSets([[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_linestatus")]], "l_returnflag", "l_linestatus").agg(
-        F.count("*").alias("n"), weighted.share(F.col("l_linenumber") == 1, F.col("l_quantity")).alias("w1"))
-
-
-@query("""WITH s AS (SELECT l_returnflag, l_extendedprice AS x, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
-c AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY x) AS upto, sum(w) OVER (PARTITION BY l_returnflag) AS whole FROM s)
-SELECT l_returnflag, min(x) AS weighted_median FROM c WHERE upto >= whole / 2 GROUP BY 1""")
-def r21_weighted_median(spark, sf_dir):
-    return weighted.median(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"])
-
-
-@query("""WITH r AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS r FROM documents JOIN labels USING (doc_id)),
-a AS (SELECT lang, sum(quality) AS p, count(*) - sum(quality) AS q, sum(quality * r) AS s FROM r GROUP BY lang)
-SELECT lang, CAST(p AS BIGINT) AS positives, CAST(q AS BIGINT) AS negatives, CAST((s - p * (p + 1) / 2.0) / nullif(p * q, 0) AS DOUBLE) AS auc FROM a""")
-def s1_auc(spark, sf_dir):
-    """How well the length of a text ranks its quality label, a language."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return weighted.auc(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"), "n_chars", "quality", ["lang"])
-
-
-@query("""WITH c AS (SELECT event_id % 1000 AS segment, CAST(ts AS DATE) AS start, CAST(ts AS DATE) + CAST(floor(value / 10) AS INTEGER) AS stop FROM events)
-SELECT CAST(day AS DATE) AS day, count(*) AS n_active, count(DISTINCT segment) AS n_segments
-FROM (SELECT segment, unnest(generate_series(start, stop, INTERVAL 1 DAY)) AS day FROM c WHERE start <= stop) GROUP BY 1""")
-def c9_closures_daily(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    c = e.select((F.col("event_id") % 1000).alias("segment"), F.to_date("ts").alias("start"), F.expr("date_add(to_date(ts), cast(floor(value / 10) AS int))").alias("stop"))
-    return replay.daily(c)
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,7 +1,8 @@
-"""Edge-disjoint routes and named minimum cuts, by augmenting paths on unit arcs.
+"""Disjoint routes and named minimum cuts, by augmenting paths on unit arcs.
 
 The graph is a bounded dimension (a city); its arrays are broadcast behind a check of their
 size. Demands are partitioned rows, so the work is as parallel as the demand table is long.
+Where a table of arcs names cities, `by_city` runs each city's graph in a task of its own.
 """
 
 from __future__ import annotations
@@ -15,106 +16,250 @@ from pyspark.sql import functions as F
 
 from strandline.session import ensure_workers
 
-#: Arcs up to which a graph is broadcast (two longs each); larger graphs are split by city first.
+#: Arcs up to which one graph is broadcast (two longs each).
 MOST_ARCS = 20_000_000
 CAP = 50
 
 
 class Graph:
-    """Collapsed arcs in compressed rows, with the place of each arc's reverse (-1: none)."""
+    """Distinct unit arcs in compressed rows, with the place of each arc's reverse.
+
+    Searches reuse one stamp array, and undo the capacities that they touched.
+    """
 
     def __init__(self, u: np.ndarray, v: np.ndarray):
+        u, v = np.asarray(u, np.int64), np.asarray(v, np.int64)
         pairs = np.unique(np.stack([np.concatenate([u, v]), np.concatenate([v, u])], axis=1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        self.nodes = np.unique(pairs)
+        self.nodes = np.unique(np.concatenate([u, v]))
         a, b = np.searchsorted(self.nodes, pairs[:, 0]), np.searchsorted(self.nodes, pairs[:, 1])
         n = max(len(self.nodes), 1)
         code = a * n + b
-        self.head, self.start = b, np.searchsorted(a, np.arange(n + 1))
-        self.twin = np.searchsorted(code, b * n + a)
         real = np.unique(np.searchsorted(self.nodes, u) * n + np.searchsorted(self.nodes, v)) if len(u) else np.zeros(0, np.int64)
-        self.room = np.isin(code, real).astype(np.int64)
+        twin = np.searchsorted(code, b * n + a)
+        forward = np.isin(code, real).astype(np.int8)
+        self.n, self.tail, self.head = len(self.nodes), a.tolist(), b.tolist()
+        self.start, self.twin = np.searchsorted(a, np.arange(n + 1)).tolist(), twin.tolist()
+        self.room = {False: forward.tolist(), True: forward[twin].tolist() if len(twin) else []}
+        self.code = code
+        self.seen, self.stamp = [0] * n, 0
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "seen"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.seen = [0] * max(self.n, 1)
 
     def index(self, keys) -> list[int]:
         keys = np.asarray(list(keys), np.int64)
         at = np.searchsorted(self.nodes, keys)
-        ok = (at < len(self.nodes)) & (self.nodes[np.minimum(at, len(self.nodes) - 1)] == keys) if len(self.nodes) else np.zeros(len(keys), bool)
+        ok = (at < self.n) & (self.nodes[np.minimum(at, self.n - 1)] == keys) if self.n else np.zeros(len(keys), bool)
         return at[ok].tolist()
 
-    def kappa(self, entry, targets: set[int], cap: int = CAP, backwards: bool = False):
-        """(routes, cut arcs as node pairs) from entry nodes to targets; the cut is the one nearest the source.
+    def places(self, u, v) -> np.ndarray:
+        """Where the arcs (u, v) stand, reverses of one-way arcs included; pairs that the graph lacks are left out."""
+        if not len(self.code):
+            return np.zeros(0, np.int64)
+        a, b = (np.minimum(np.searchsorted(self.nodes, x), self.n - 1) for x in (u, v))
+        ok = (self.nodes[a] == u) & (self.nodes[b] == v)
+        code = a * max(self.n, 1) + b
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return at[ok & (self.code[at] == code)]
 
-        backwards: routes from targets to the entry nodes instead.
+    def routes(self, entry: list[int], targets, cap: int = CAP, backwards: bool = False, mask=None):
+        """(number of arc-disjoint routes, changed capacities, nodes of the last search with their hops).
+
+        Routes lead from entry nodes to targets (backwards: from targets to entry nodes) over
+        the arcs of mask (all). The search stops at cap; then the last search is empty. entry
+        and targets should share no node. The changed capacities are a flow: an arc of which
+        the capacity went from 1 to 0 is used.
         """
-        room, routes = {}, 0
-        left = lambda e: room.get(e, int(self.room[e]))
-        while True:
-            came, queue, end = dict.fromkeys(entry, -1), deque(entry), None
-            while queue and end is None:
+        room = self.room[backwards]
+        if mask is not None:
+            room = [r if m else 0 for r, m in zip(room, mask[backwards], strict=True)]
+        head, start, twin, seen = self.head, self.start, self.twin, self.seen
+        changed: dict[int, int] = {}
+        routes = 0
+        while routes < cap:
+            self.stamp += 1
+            stamp = self.stamp
+            came, hops, queue, end = {}, {}, deque(), -1
+            for s in entry:
+                if seen[s] != stamp:
+                    seen[s], came[s], hops[s] = stamp, -1, 0
+                    queue.append(s)
+            while queue and end < 0:
                 x = queue.popleft()
-                for e in range(self.start[x], self.start[x + 1]):
-                    y = int(self.head[e])
-                    if y not in came and left(int(self.twin[e]) if backwards else e) > 0:
-                        came[y] = e
+                for e in range(start[x], start[x + 1]):
+                    y = head[e]
+                    if seen[y] != stamp and (changed[e] if e in changed else room[e]) > 0:
+                        seen[y], came[y], hops[y] = stamp, e, hops[x] + 1
                         if y in targets:
                             end = y
                             break
                         queue.append(y)
-            if end is None:
-                break
+            if end < 0:
+                return routes, changed, hops
             routes += 1
-            if routes >= cap:
-                return routes, []
             while came[end] >= 0:
                 e = came[end]
-                t = int(self.twin[e])
-                use, back = (t, e) if backwards else (e, t)
-                room[use], room[back] = left(use) - 1, left(back) + 1
-                end = int(self.head[t])
-        cut = []
-        for x in came:
+                t = twin[e]
+                changed[e] = (changed[e] if e in changed else room[e]) - 1
+                changed[t] = (changed[t] if t in changed else room[t]) + 1
+                end = head[t]
+        return routes, changed, {}
+
+    def cut(self, hops: dict[int, int], backwards: bool = False, mask=None) -> list[tuple[int, int]]:
+        """Arcs (as node pairs) that leave the nodes of the last search: the minimum cut nearest the search's start."""
+        room, out = self.room[backwards], []
+        for x in hops:
             for e in range(self.start[x], self.start[x + 1]):
-                y, arc = int(self.head[e]), int(self.twin[e]) if backwards else e
-                if y not in came and self.room[arc]:
-                    cut.append((int(self.nodes[y]), int(self.nodes[x])) if backwards else (int(self.nodes[x]), int(self.nodes[y])))
-        return routes, sorted(cut)
+                y = self.head[e]
+                if y not in hops and room[e] and (mask is None or mask[backwards][e]):
+                    pair = (int(self.nodes[x]), int(self.nodes[y]))
+                    out.append(pair[::-1] if backwards else pair)
+        return sorted(out)
+
+    def kappa(self, entry, targets, cap: int = CAP, backwards: bool = False):
+        """(routes, cut arcs); the cut is the one nearest the entry nodes, whichever way routes lead."""
+        k, _, hops = self.routes(entry, targets, cap, backwards)
+        return k, self.cut(hops, backwards) if hops else []
+
+    def flow(self, changed: dict[int, int], backwards: bool = False, mask=None) -> set[int]:
+        """Arcs that the routes of routes() use, given the same mask."""
+        room = self.room[backwards]
+        return {e for e, r in changed.items() if r == 0 and room[e] and (mask is None or mask[backwards][e])}
 
+    def decompose(self, used: set[int], entry, targets) -> list[list[int]]:
+        """Simple routes (lists of nodes) that use each of the arcs at most once; arcs of mere loops stay unused."""
+        out_of: dict[int, list[int]] = {}
+        for e in sorted(used):
+            out_of.setdefault(self.tail[e], []).append(e)
+        found = []
+        for s in sorted(set(entry)):
+            while out_of.get(s):
+                path, at = [s], {s: 0}
+                while path[-1] not in targets and out_of.get(path[-1]):
+                    y = self.head[out_of[path[-1]].pop()]
+                    if y in at:  # splice the loop out
+                        for z in path[at[y] + 1 :]:
+                            del at[z]
+                        del path[at[y] + 1 :]
+                    else:
+                        at[y] = len(path)
+                        path.append(y)
+                if path[-1] in targets:
+                    found.append(path)
+                elif len(path) == 1:
+                    break
+        return found
 
-def collapse(segments: DataFrame) -> DataFrame:
-    """u, v, w: the least finite cost of each parallel bundle; null, NaN and infinite costs are dropped."""
-    return segments.where("w IS NOT NULL AND NOT isnan(w) AND abs(w) < double('Infinity')").groupBy("u", "v").agg(F.min("w").alias("w"))
 
+def cancelled(graph: Graph, used: set[int]) -> tuple[set[int], int]:
+    """The arcs without pairs that run against each other, and how many such pairs there were."""
+    twins = {e for e in used if graph.twin[e] in used}
+    return used - twins, len(twins) // 2
 
-def route_counts(arcs: DataFrame, demands: DataFrame, access: DataFrame, orientation: str = "DA", cap: int = CAP) -> DataFrame:
-    """d, kappa, colocated, cut (array of arcs) of each distinct demand node d that the graph has.
 
-    A node that is an access point is colocated and has a null kappa and cut. kappa stops at
-    cap, with an empty cut. arcs: (u, v), repeats count once; demands: (d); access: (node).
+def collapse(segments: DataFrame, *keep: str) -> DataFrame:
+    """u, v, w: the least finite cost of each parallel bundle; null, NaN and infinite costs are dropped.
+
+    keep: columns of the cheapest segment that stay; ties go to their least values.
     """
+    finite = segments.where("w IS NOT NULL AND NOT isnan(w) AND abs(w) < double('Infinity')")
+    if not keep:
+        return finite.groupBy("u", "v").agg(F.min("w").alias("w"))
+    best = finite.groupBy("u", "v").agg(F.min(F.struct("w", *keep)).alias("b"))
+    return best.select("u", "v", "b.w", *[f"b.{c}" for c in keep])
+
+
+def split_nodes(arcs: DataFrame) -> DataFrame:
+    """u, v of the graph in which node n is an arc from 2n to 2n + 1, so arc-disjoint routes there are node-disjoint here."""
+    ends = arcs.select(F.explode(F.array("u", "v")).alias("n")).distinct()
+    return arcs.select((F.col("u") * 2 + 1).alias("u"), (F.col("v") * 2).alias("v")).unionByName(ends.select((F.col("n") * 2).alias("u"), (F.col("n") * 2 + 1).alias("v")))
+
+
+def broadcast_graph(arcs: DataFrame, access: DataFrame):
+    """A broadcast (graph, set of access nodes it has): arcs (u, v) are checked against MOST_ARCS first."""
     spark = arcs.sparkSession
     ensure_workers(spark)
     plain = arcs.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u IS NOT NULL AND v IS NOT NULL").distinct().cache()
     n = plain.count()
     if n > MOST_ARCS:
-        raise ValueError(f"{n} arcs exceed MOST_ARCS; split the graph by city")
+        raise ValueError(f"{n} arcs exceed MOST_ARCS; pass a table that names cities to by_city()")
     ends = plain.toPandas()
-    plain.unpersist()
     graph = Graph(ends["u"].to_numpy(np.int64), ends["v"].to_numpy(np.int64))
+    # at most as many as the graph has nodes
     goals = access.join(plain.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node").distinct().toPandas()["node"]
-    bc = spark.sparkContext.broadcast((graph, set(graph.index(goals))))
+    plain.unpersist()
+    return spark.sparkContext.broadcast((graph, set(graph.index(goals))))
+
+
+CUT = "array<struct<u:bigint,v:bigint>>"
+
+
+def _rows(graph: Graph, targets: set, keys, entries, cap: int, backwards: bool):
+    out = []
+    for d, nodes in zip(keys, entries, strict=True):
+        entry = graph.index(nodes)
+        if not entry:
+            continue
+        if any(s in targets for s in entry):
+            out.append((d, None, True, None, None, None))
+            continue
+        k, _, hops = graph.routes(entry, targets, cap, backwards)
+        cut = graph.cut(hops, backwards) if hops and not backwards else None
+        first = depth = None
+        if cut is not None and k == 1:
+            tail = graph.index([cut[0][0]])[0]
+            first, depth = tail in set(entry), hops[tail]
+        out.append((d, k, False, None if cut is None else [{"u": a, "v": b} for a, b in cut], first, depth))
+    return pd.DataFrame(out, columns=["d", "kappa", "colocated", "cut", "cut_first", "cut_hops"]).astype({"kappa": "Int32", "colocated": "boolean", "cut_first": "boolean", "cut_hops": "Int32"})
+
+
+def route_counts(arcs: DataFrame, demands: DataFrame, access: DataFrame, orientation: str = "DA", cap: int = CAP, bc=None) -> DataFrame:
+    """d, kappa, colocated, cut, cut_first, cut_hops of each demand that the graph has.
+
+    demands: (d) or (d, entry: array of nodes); each distinct entry set is solved once. A
+    demand with an access point in its entry set is colocated and has a null kappa. kappa
+    stops at cap, with a null cut. DA routes lead from entry nodes to access points, and the
+    cut is the one nearest the demand; AD routes lead the other way and have no cut. For a
+    single arc as cut, cut_first says that it leaves an entry node and cut_hops how many hops
+    of the residual graph its tail is away. arcs: (u, v), repeats count once; access: (node).
+    """
+    spark = arcs.sparkSession
+    bc = bc or broadcast_graph(arcs, access)
+    backwards = orientation == "AD"
+    rows = demands if "entry" in demands.columns else demands.select("d", F.array(F.col("d").cast("long")).alias("entry"))
+    rows = rows.where("d IS NOT NULL").select("d", F.array_sort(F.array_distinct("entry")).alias("entry")).distinct()
+    kind = dict(rows.dtypes)["d"]
 
     def run(batches):
-        g, targets = bc.value
+        graph, targets = bc.value
         for pdf in batches:
-            out = []
-            for d in pdf["d"]:
-                s = g.index([d])
-                if s and s[0] in targets:
-                    out.append((d, None, True, None))
-                elif s:
-                    k, cut = g.kappa(s, targets, cap, orientation == "AD")
-                    out.append((d, k, False, [{"u": a, "v": b} for a, b in cut]))
-            yield pd.DataFrame(out, columns=["d", "kappa", "colocated", "cut"]).astype({"kappa": "Int32", "colocated": "boolean"})
-
-    nodes = demands.select(F.col("d").cast("long")).where("d IS NOT NULL").distinct()
-    return nodes.repartition(max(spark.sparkContext.defaultParallelism, 1), "d").mapInPandas(run, "d long, kappa int, colocated boolean, cut array<struct<u:bigint,v:bigint>>")
+            yield _rows(graph, targets, pdf["d"], pdf["entry"], cap, backwards)
+
+    # entry sets are dealt evenly and never grouped: one demand is one unit of work
+    dealt = rows.repartition(max(spark.sparkContext.defaultParallelism * 2, 1), "d")
+    return dealt.mapInPandas(run, f"d {kind}, kappa int, colocated boolean, cut {CUT}, cut_first boolean, cut_hops int")
+
+
+def by_city(arcs: DataFrame, demands: DataFrame, access: DataFrame, orientation: str = "DA", cap: int = CAP) -> DataFrame:
+    """route_counts() of many cities: arcs (city, u, v), demands (city, d), access (city, node); adds city.
+
+    A city's arcs meet its demands in one task; a city is the unit that must fit one.
+    """
+    ensure_workers(arcs.sparkSession)
+    a = arcs.select("city", F.lit(0).alias("what"), F.col("u").cast("long").alias("x"), F.col("v").cast("long").alias("y"))
+    d = demands.select("city", F.lit(1).alias("what"), F.col("d").cast("long").alias("x"), F.lit(None).cast("long").alias("y"))
+    g = access.select("city", F.lit(2).alias("what"), F.col("node").cast("long").alias("x"), F.lit(None).cast("long").alias("y"))
+    rows = a.unionByName(d).unionByName(g).where("x IS NOT NULL").distinct()
+
+    def run(pdf):
+        part = {k: pdf[pdf["what"] == k] for k in range(3)}
+        graph = Graph(part[0]["x"].to_numpy(np.int64), part[0]["y"].to_numpy(np.int64))
+        out = _rows(graph, set(graph.index(part[2]["x"])), part[1]["x"], [[x] for x in part[1]["x"]], cap, orientation == "AD")
+        return out.assign(city=pdf["city"].iloc[0])[["city", "d", "kappa", "colocated"]]
+
+    return rows.groupBy("city").applyInPandas(run, f"city {dict(arcs.dtypes)['city']}, d long, kappa int, colocated boolean")

@@ -1,16 +1,104 @@
-"""Closures as intervals of days, and what is closed each day."""
+"""Closures as intervals of days, and what is closed and cut off each day."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def daily(closures: DataFrame) -> DataFrame:
-    """day, n_active, n_segments: closures (segment, start, stop) in force, both ends included.
+def days(closures: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and day of each day that a closure (start, stop) is in force, both ends included.
 
-    An interval is a +1 and a -1 only for counting rows, but distinct segments need the days,
-    so intervals become days by sequence(); null ends and stops before starts have none.
+    Null ends and stops before starts have none.
     """
-    days = closures.where("start <= stop").select("segment", F.explode(F.expr("sequence(start, stop, interval 1 day)")).alias("day"))
-    return days.groupBy("day").agg(F.count("*").alias("n_active"), F.countDistinct("segment").alias("n_segments"))
+    return closures.where("start <= stop").select(*keep, F.explode(F.expr("sequence(start, stop, interval 1 day)")).alias("day"))
+
+
+def calendar(closures: DataFrame) -> DataFrame:
+    """day of each day from the first start to the last stop."""
+    ends = closures.where("start <= stop").agg(F.min("start").alias("a"), F.max("stop").alias("b")).where("a IS NOT NULL")
+    return ends.select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
+
+
+def daily(closures: DataFrame, key: str = "segment") -> DataFrame:
+    """day, n_active, n_segments of every day of the calendar: closures in force and distinct segments among them."""
+    d = days(closures, key).groupBy("day").agg(F.count("*").alias("n_active"), F.countDistinct(key).alias("n_segments"))
+    return calendar(closures).join(d, "day", "left").fillna(0)
+
+
+def deduped(permits: DataFrame, first: str, second: str, order: list[str]) -> DataFrame:
+    """One row a permit key with n_permits: the key is `first`, or `second` where that is null or empty; the first by `order` stays.
+
+    A partial aggregation keeps the least row, so copies of a key never meet in one task. Rows without a key go.
+    """
+    key = F.coalesce(F.nullif(F.col(first), F.lit("")), F.nullif(F.col(second), F.lit("")))
+    cols = [c for c in permits.columns if c not in order]
+    best = F.min(F.struct(*order, *[c for c in cols]))
+    out = permits.withColumn("_key", key).where("_key IS NOT NULL").groupBy("_key").agg(best.alias("b"), F.count("*").alias("n_permits"))
+    return out.select(F.col("_key").alias("key"), *[F.col(f"b.{c}").alias(c) for c in permits.columns], "n_permits")
+
+
+def phase(start: Column, stop: Column, today: Column) -> Column:
+    """'open', 'finished' or 'future' on a day, ends included."""
+    return F.when(stop < today, "finished").when(start > today, "future").when((start <= today) & (stop >= today), "open")
+
+
+def streets_of(match: DataFrame, names: DataFrame) -> DataFrame:
+    """closure, n_streets: distinct names of the arcs (closure, u, v) of a closure, 1 at least; names: (u, v, name)."""
+    return match.join(names, ["u", "v"], "left").groupBy("closure").agg(F.greatest(F.lit(1).cast("long"), F.countDistinct("name")).alias("n_streets"))
+
+
+def severed_days(stranded: DataFrame, closures: DataFrame, weights: DataFrame) -> DataFrame:
+    """d, days, w_days: on how many distinct days a demand is cut off by any closure, and its weight times them.
+
+    stranded: (closure, d); closures: (closure, start, stop); weights: (d, w).
+    """
+    d = days(closures, "closure").join(stranded, "closure").select("d", "day").distinct().groupBy("d").agg(F.count("*").alias("days"))
+    return d.join(weights, "d").select("d", "days", (F.col("w") * F.col("days")).alias("w_days"))
+
+
+def walks(arcs: DataFrame, starts: DataFrame, length: str = "size", times: int = 1) -> DataFrame:
+    """closure, rep, arcs: a random contiguous walk of `size` arcs for each (closure, size) and replicate.
+
+    Steps are chosen by an integer hash of (closure, rep, step); the walk is a row that joins
+    the arcs once a step, and one that has nowhere to go ends early.
+    """
+    out = arcs.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("next"))
+    nodes = arcs.select(F.col("u").alias("node")).distinct().withColumn("i", F.row_number().over(Window.orderBy("node")) - 1)
+    n = max(nodes.count(), 1)
+    rows = starts.select("closure", F.col(length).cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep"))
+    rows = rows.withColumn("i", F.pmod(F.expr("closure * 48271 + rep * 69621 + 16807"), F.lit(n))).join(nodes, "i").select("closure", "rep", "size", F.col("node").alias("at"), F.expr("cast(array() AS array<struct<u:bigint,v:bigint>>)").alias("arcs"))
+    most = starts.agg(F.max(length)).first()[0] or 0
+    for step in range(int(most)):
+        pick = F.get("next", F.pmod(F.expr(f"closure * 31 + rep * 17 + {step} * 13"), F.size("next")).cast("int"))
+        on = rows.join(out, F.col("at") == F.col("u"), "left").withColumn("to", F.when(F.col("size") > step, pick))
+        grown = F.when(F.col("to").isNotNull(), F.concat("arcs", F.array(F.struct(F.col("at").cast("long").alias("u"), F.col("to").cast("long").alias("v"))))).otherwise(F.col("arcs"))
+        rows = on.select("closure", "rep", "size", F.coalesce("to", "at").alias("at"), grown.alias("arcs"))
+    return rows.select("closure", "rep", "arcs")
+
+
+def overlap(closures: DataFrame, lines: DataFrame, trim: float = 10.0, buffer: float = 12.0, least: float = 0.6, samples: int = 21) -> DataFrame:
+    """closure, u, v, share of the street lines that run along a closure.
+
+    closures: (closure, ax, ay, bx, by), lines: (u, v, ax, ay, bx, by), straight in metres. A
+    line is shortened by `trim` at both ends; `share` is the part of its sample points within
+    `buffer` of the closure's line, kept from `least` on. Boxes meet by grid cells.
+    """
+    cell = 200.0
+    span = lambda p, q: F.sequence(F.floor((F.least(p, q) - buffer) / cell), F.floor((F.greatest(p, q) + buffer) / cell))
+    spread = lambda df: df.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"))))
+    c = spread(closures.select("closure", "ax", "ay", "bx", "by")).select("closure", "cx", "cy", F.col("ax").alias("px"), F.col("ay").alias("py"), F.col("bx").alias("qx"), F.col("by").alias("qy"))
+    pairs = spread(lines.select("u", "v", "ax", "ay", "bx", "by")).join(c, ["cx", "cy"]).drop("cx", "cy").dropDuplicates(["closure", "u", "v"])
+    size = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    cut = F.when(size > 2 * trim, trim / size).otherwise(0.0)  # a short line stays whole
+
+    def near(i):
+        t = cut + (1 - 2 * cut) * i / float(samples - 1)
+        x, y = F.col("ax") + t * (F.col("bx") - F.col("ax")), F.col("ay") + t * (F.col("by") - F.col("ay"))
+        dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+        s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((x - F.col("px")) * dx + (y - F.col("py")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
+        ex, ey = x - F.col("px") - s * dx, y - F.col("py") - s * dy
+        return F.when(ex * ex + ey * ey <= buffer * buffer, 1).otherwise(0)
+
+    hits = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), near), F.lit(0), lambda a, x: a + x)
+    return pairs.withColumn("share", hits / float(samples)).where(F.col("share") >= least).select("closure", "u", "v", "share")

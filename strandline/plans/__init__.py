@@ -1 +1 @@
-"""Part of the engine; see the README for the map of modules."""
+"""Named queries over the driver's tables, by subject; each module registers its own."""
