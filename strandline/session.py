@@ -26,8 +26,15 @@ def build(app: str = "strandline", cores: str = "*", partitions: int = 8) -> Spa
     )
 
 
+#: Bytes of a batch that goes to a Python worker, at most: a worker holds a batch a few times over.
+BATCH_BYTES = 8 << 20
+
+
 def ensure_workers(spark: SparkSession) -> None:
-    """Python workers find this package even when the driver was started elsewhere."""
+    """Python workers find this package even when the driver was started elsewhere, and get batches of bounded size."""
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(batch, None) is None:  # not set by the session's owner
+        spark.conf.set(batch, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in known:
