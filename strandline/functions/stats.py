@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.weighted import running
 from strandline.session import stored
 
 #: A multiplicative generator over a prime field: draws are (A * replicate + B * position + C * replicate * position) mod PRIME.
@@ -46,32 +47,42 @@ def tied(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
 
 
-def _over(by: list[str]):
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+def _with_totals(t: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """t with total_<c> of each group."""
+    whole = t.groupBy(*by).agg(*[F.sum(c).alias(f"total_{c}") for c in sums])
+    named = whole.select(*[F.col(c).alias(f"_t_{c}") for c in by], *[f"total_{c}" for c in sums])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    return t.join(named, on).drop(*[f"_t_{c}" for c in by])
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: list[str], descending: bool = True) -> DataFrame:
     """by, ap: sum over thresholds of precision times the recall gained; null without positives."""
-    order = F.col(score).desc() if descending else F.col(score).asc()
-    upto = _over(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = tied(df, score, label, by).withColumn("tp", F.sum("p").over(upto)).withColumn("all", F.sum("n").over(upto))
-    out = t.groupBy(*by).agg(F.sum(F.expr("p * tp / all")).alias("s"), F.sum("p").alias("pos"))
+    t = running(tied(df, score, label, by), by, score, ["p", "n"])
+    if descending:  # what is at or above a score is all but what is below it
+        t = _with_totals(t, by, ["p", "n"]).withColumn("upto_p", F.expr("total_p - upto_p + p")).withColumn("upto_n", F.expr("total_n - upto_n + n"))
+    out = t.groupBy(*by).agg(F.sum(F.expr("p * upto_p / upto_n")).alias("s"), F.sum("p").alias("pos"))
     return out.select(*by, (F.col("s") / F.nullif(F.col("pos"), F.lit(0))).alias("ap"))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """1-based rank of a column within a group, ties sharing the mean of theirs."""
-    return F.rank().over(_over(by).orderBy(value)) + (F.count("*").over(_over([*by, value])) - 1) / 2.0
+def ranked(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """df with a column: the 1-based rank of value within by, ties sharing the mean of theirs; null values have none.
 
-
-def percent_rank(value: str, by: list[str]) -> Column:
-    """average_rank() over the group's rows."""
-    return average_rank(value, by) / F.count("*").over(_over(by))
+    Distinct values are counted first and ranked in ranges, so no task holds a group.
+    """
+    t = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    r = running(t, by, value, ["n"]).select(*[F.col(c).alias(f"_r_{c}") for c in [*by, value]], (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias(out))
+    on = F.col(value) == F.col(f"_r_{value}")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return df.join(r, on, "left").drop(*[f"_r_{c}" for c in [*by, value]])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, rho: Pearson correlation of the average ranks; null below three rows or without spread."""
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    r = ranked(ranked(both, x, by, "rx"), y, by, "ry")
     out = r.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("c"))
     return out.select(*by, F.when((F.col("n") >= 3) & ~F.isnan("c"), F.col("c")).alias("rho"))
 
@@ -85,9 +96,7 @@ def upper_tail(z: Column) -> Column:
 
 def mann_whitney(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
     """by, u, z, p: U of the rows with group 1, its tie-corrected normal score and two-sided p (continuity-corrected)."""
-    t = tied(df, value, group, by)
-    before = _over(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("r", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    t = running(tied(df, value, group, by), by, value, ["n"]).withColumn("r", F.col("upto_n") - (F.col("n") - 1) / 2.0)
     s = t.groupBy(*by).agg(F.sum(F.expr("p * r")).alias("s"), F.sum("p").cast("double").alias("a"), F.sum("n").cast("double").alias("n"),
                            F.sum(F.expr("cast(n AS double) * n * n - n")).alias("ties"))
     s = s.withColumn("b", F.expr("n - a")).withColumn("u", F.expr("s - a * (a + 1) / 2"))

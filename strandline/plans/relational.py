@@ -188,8 +188,9 @@ def r25_pools(spark, sf_dir):
  round((rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand), 9) AS pct FROM part""")
 def r27_ranks(spark, sf_dir):
     """Tie-averaged and percent ranks of parts by size in their brand."""
-    by = ["p_brand"]
-    return table(spark, sf_dir, "part").select("p_partkey", stats.average_rank("p_size", by).alias("r"), F.round(stats.percent_rank("p_size", by), 9).alias("pct"))
+    r = stats.ranked(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_size", ["p_brand"], "r")
+    n = r.groupBy("p_brand").agg(F.count("*").alias("n"))
+    return r.join(F.broadcast(n), "p_brand").select("p_partkey", "r", F.round(F.col("r") / F.col("n"), 9).alias("pct"))
 
 
 @query("""WITH r AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) * 1.0 / count(*) OVER (PARTITION BY c_nationkey) AS s FROM customer)

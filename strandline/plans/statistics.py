@@ -246,7 +246,7 @@ def s15_decomposition(spark, sf_dir):
     b = _scored(spark, sf_dir)
     n = b.count()
     t = b.groupBy("s").agg(F.count("*").alias("n"))
-    pct = t.withColumn("pct", (F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("n") + 1) / 2.0) / max(n, 1)).drop("n")
+    pct = weighted.running(t, [], "s", ["n"]).select("s", ((F.col("upto_n") - (F.col("n") - 1) / 2.0) / max(n, 1)).alias("pct"))
     r, one = b.join(pct, "s"), F.col("y") == 1
     q = [F.round(F.percentile(F.when(one, F.col("pct")), F.lit(x)), 9).alias(k) for x, k in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
     share = lambda c, k: F.round(F.avg(F.when(one, c.cast("double"))), 9).alias(k)
@@ -265,7 +265,7 @@ def s16_adaptive_cut(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     n = p.count()
     t = p.groupBy("p_size").agg(F.count("*").alias("n"))
-    pct = t.withColumn("pct", (F.coalesce(F.sum("n").over(Window.orderBy("p_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("n") + 1) / 2.0) / max(n, 1)).drop("n")
+    pct = weighted.running(t, [], "p_size", ["n"]).select("p_size", ((F.col("upto_n") - (F.col("n") - 1) / 2.0) / max(n, 1)).alias("pct"))
     r = p.join(F.broadcast(pct), "p_size")
     steps = [0.9, 0.85, 0.8, 0.75, 0.7, 0.65]
     cuts = r.agg(*[F.percentile("pct", F.lit(q)).alias(f"c{i}") for i, q in enumerate(steps)])
