@@ -29,13 +29,14 @@ def draw_sql(replicate: str, position: str) -> str:
     return f"(({C} * (({first} * ({first} % 65536)) % {PRIME})) % {PRIME})"
 
 
-def positioned(df: DataFrame, order: list[str], n_buckets: int = 64) -> DataFrame:
+def positioned(df: DataFrame, order: list[str]) -> DataFrame:
     """df with pos = 0, 1, ... in the order of `order` (unique columns): ranks within ranges plus the ranges' offsets.
 
     Ranges come from sampled bounds of the first column, so no task sees all rows.
     """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # stored, as bounds are sampled anew wherever a range exchange is planned again
-    spread = stored(df.repartitionByRange(n_buckets, *order).withColumn("_part", F.spark_partition_id()))
+    spread = stored(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))
     local = spread.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

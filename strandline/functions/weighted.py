@@ -22,12 +22,14 @@ def agrees(x: Column, given: Column, digits: Column) -> Column:
     return F.abs(x - given) <= F.lit(0.5) * F.pow(F.lit(10.0), -digits) + 1e-9
 
 
-def running(df: DataFrame, by: list[str], order: str, sums: list[str], ranges: int = 32) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: str, sums: list[str], ranges: int | None = None) -> DataFrame:
     """df with upto_<c> for each c of sums: the running sum within by, in the order of `order` (distinct within by).
 
-    Rows are sorted by (by, order) into ranges; windows run within a range, and totals of
-    (by, range) give the offsets, so a group may be larger than a task.
+    Rows are sorted by (by, order) into ranges, as many as the session has shuffle partitions;
+    windows run within a range, and totals of (by, range) give the offsets, so a group may be
+    larger than a task.
     """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # stored, as bounds are sampled anew wherever a range exchange is planned again
     spread = stored(df.repartitionByRange(ranges, *by, order).withColumn("_range", F.spark_partition_id()))
     within = Window.partitionBy("_range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
