@@ -16,7 +16,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = 20240229
 #: Texts are worked on in chunks of about so many bytes; one longer text makes a chunk of its own.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
