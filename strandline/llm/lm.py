@@ -27,6 +27,8 @@ from strandline.session import ensure_workers, stored
 BLOCK_BITS, INSERTIONS_A_BLOCK, MOST_BLOCKS, PROBES = 1 << 15, 1 << 11, 1 << 16, 3
 #: Exact counts of so many words, the most frequent ones, are broadcast at most (16 bytes each).
 BROADCAST_WORDS, MOST_FLOOR = 1_000_000, 1_000
+#: Blocks that are filled together.
+BLOCKS_A_CALL = 64
 #: N-grams that a task holds before it passes their counts on.
 HELD = 2_000_000
 LAMBDA = 0.6
@@ -89,12 +91,16 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 
 def _fill(key, pdf):
+    """The bits of BLOCKS_A_CALL neighbouring blocks, those with insertions."""
+    first = int(key[0]) * BLOCKS_A_CALL
     q = _level(pdf["n"].to_numpy()) + 1
     h = np.repeat(pdf["h"].to_numpy().view(np.uint64), q)
+    row = np.repeat(pdf["block"].to_numpy() - first, q)
     step = np.arange(len(h)) - np.repeat(np.cumsum(q) - q, q)
-    bits = np.zeros(BLOCK_BITS, bool)
-    bits[_slots(h, step).ravel()] = True
-    return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits).tobytes()]})
+    bits = np.zeros((BLOCKS_A_CALL, BLOCK_BITS), bool)
+    bits[row[:, None], _slots(h, step)] = True
+    used = np.unique(row)
+    return pd.DataFrame({"block": first + used, "bits": [x.tobytes() for x in np.packbits(bits[used], axis=1)]})
 
 
 class Filter:
@@ -222,7 +228,8 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, most_blocks:
     total, kinds, total_q = int(sums[0] or 0), int(sums[1]), float(sums[2] or 0.0)
     insertions = int(grams.agg(F.sum(level + 1)).first()[0] or 0)
     blocks = max(1, -(-insertions // INSERTIONS_A_BLOCK))
-    filled = grams.select("h", "n", _block("h", blocks).alias("block")).groupBy("block").applyInPandas(_fill, "block int, bits binary")
+    placed = grams.select("h", "n", _block("h", blocks).alias("block"))
+    filled = stored(placed.groupBy(F.expr(f"block div {BLOCKS_A_CALL}").alias("call")).applyInPandas(_fill, "block int, bits binary"))
     small = blocks <= most_blocks
     bc = spark.sparkContext.broadcast(Filter(blocks, filled.toLocalIterator())) if small else None
     # the least count from which on words fit the broadcast table
