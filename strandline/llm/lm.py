@@ -86,21 +86,19 @@ def _slots(h: np.ndarray, q: np.ndarray):
     return np.stack([((x >> np.uint64(15 * i + 4)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for i in range(PROBES)], axis=1)
 
 
-def _level(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.floor(2 * np.log2(n)).astype(np.int64), _LEVELS - 1)
-
-
-def _fill(key, pdf):
-    """The bits of BLOCKS_A_CALL neighbouring blocks, those with insertions."""
-    first = int(key[0]) * BLOCKS_A_CALL
-    q = _level(pdf["n"].to_numpy()) + 1
-    h = np.repeat(pdf["h"].to_numpy().view(np.uint64), q)
-    row = np.repeat(pdf["block"].to_numpy() - first, q)
-    step = np.arange(len(h)) - np.repeat(np.cumsum(q) - q, q)
-    bits = np.zeros((BLOCKS_A_CALL, BLOCK_BITS), bool)
-    bits[row[:, None], _slots(h, step)] = True
-    used = np.unique(row)
-    return pd.DataFrame({"block": first + used, "bits": [x.tobytes() for x in np.packbits(bits[used], axis=1)]})
+def _fill(blocks: int):
+    """The bits of BLOCKS_A_CALL neighbouring blocks, those with insertions, from rows (h, q)."""
+    def run(key, pdf):
+        first = int(key[0]) * BLOCKS_A_CALL
+        q, each = pdf["q"].to_numpy().astype(np.int64) + 1, pdf["h"].to_numpy().view(np.uint64)
+        h = np.repeat(each, q)
+        row = np.repeat((each % np.uint64(blocks)).astype(np.int64) - first, q)
+        step = np.arange(len(h)) - np.repeat(np.cumsum(q) - q, q)
+        bits = np.zeros((BLOCKS_A_CALL, BLOCK_BITS), bool)
+        bits[row[:, None], _slots(h, step)] = True
+        used = np.unique(row)
+        return pd.DataFrame({"block": first + used, "bits": [x.tobytes() for x in np.packbits(bits[used], axis=1)]})
+    return run
 
 
 class Filter:
@@ -149,8 +147,9 @@ def _scored(bc, table_bc, total: int, kinds: int, total_q: float):
                 doc, token, before = _sequence(Words(parts))
                 n, score = len(parts), np.zeros(len(parts))
                 if bc is not None:
-                    prior = np.where(before == 0, 0.0, bc.value.counts(before))
-                    p = _probability(bc.value.counts(token), prior, bc.value.counts(_pair(before, token)), total_q, kinds)
+                    one = bc.value.counts(token)
+                    prior = np.where(before == 0, 0.0, np.concatenate(([0.0], one[:-1])))
+                    p = _probability(one, prior, bc.value.counts(_pair(before, token)), total_q, kinds)
                     score = np.bincount(doc, np.log10(p), n)
                 at = np.minimum(np.searchsorted(h, token), max(len(h) - 1, 0))
                 listed = h[at] == token if len(h) else np.zeros(len(token), bool)
@@ -228,8 +227,9 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, most_blocks:
     total, kinds, total_q = int(sums[0] or 0), int(sums[1]), float(sums[2] or 0.0)
     insertions = int(grams.agg(F.sum(level + 1)).first()[0] or 0)
     blocks = max(1, -(-insertions // INSERTIONS_A_BLOCK))
-    placed = grams.select("h", "n", _block("h", blocks).alias("block"))
-    filled = stored(placed.groupBy(F.expr(f"block div {BLOCKS_A_CALL}").alias("call")).applyInPandas(_fill, "block int, bits binary"))
+    # only what the filter keeps is moved again: the hash and the quantised count
+    placed = grams.select("h", level.cast("tinyint").alias("q"), F.floor(_block("h", blocks) / BLOCKS_A_CALL).cast("int").alias("call"))
+    filled = stored(placed.groupBy("call").applyInPandas(_fill(blocks), "block int, bits binary"))
     small = blocks <= most_blocks
     bc = spark.sparkContext.broadcast(Filter(blocks, filled.toLocalIterator())) if small else None
     # the least count from which on words fit the broadcast table
