@@ -160,7 +160,7 @@ def corpus(spark):
     calm = lambda n=30: " ".join(rng.choice([f"calm{k}" for k in range(60)], n))
     data = [(i, calm(10) + (" vile " if i % 2 else " ") + calm(10), "en", "ab"[i % 2], 1) for i in range(400)]
     data += [(1000, None, None, None, None), (None, "no id here at all", "en", None, 3), (None, None, None, None, None), (2000, "", "en", "a", 0), (2001, calm(300), "en", "b", 9)]
-    data += [(2002, data[-1][1], "en", "b", 9), (2003, data[-1][1] + " end", "en", "b", 9), (2004, "write to who@where.org", "en", "a", 5), (2004, "write to who@where.org", "en", "a", 5)]
+    data += [(2002, data[-1][1], "en", "b", 9), (2003, data[-1][1] + " end", "en", "b", 9), (2004, "write to who@where.org", "en", "a", 5), (2004, "write to who@where.org", "en", "a", 5), (2005, "they write", "en", "a", 2)]
     return data, spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
 
 

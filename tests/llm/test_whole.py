@@ -95,7 +95,8 @@ def disclosing(rows, least=pii.LEAST_TEXTS):
             ne[e] += 1
             for w in ws:
                 near[e, w].append(t)
-    return {w for (e, w), ts in near.items() if len(set(ts)) >= least and math.log(len(ts) * n / (nt[w] * ne[e])) >= math.log(n / ne[e]) / pii.ALPHA - 1e-12}
+    enough = lambda e, ts: math.log(n / ne[e]) / (pii.ALPHA if len(set(ts)) >= least else 1)
+    return {w for (e, w), ts in near.items() if math.log(len(ts) * n / (nt[w] * ne[e])) >= enough(e, ts) - 1e-9}
 
 
 def test_copies_and_long_words_hide_no_term(spark):
