@@ -28,7 +28,7 @@ def vocabulary_path() -> str:
 
 
 #: A piece that keeps its tokens in a line of its own, and so many lines make one text.
-LINE, LINES = re.compile(r" ?\S+"), 1000
+LINE, LINES = re.compile(r" ?\S+"), 20
 #: A worker's tokenized pieces are forgotten past so many pieces or ids.
 MOST_PIECES, MOST_IDS = 1_000_000, 8_000_000
 
@@ -44,7 +44,7 @@ class Tokenized:
         self.clear()
 
     def clear(self):
-        self.place: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and which piece each is
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -56,41 +56,50 @@ class Tokenized:
         self.ids[at : self.used] = ids
         return at
 
-    def _learn(self, new: list[str]) -> None:
-        """Tokenize new pieces: those without inner white space or added tokens as lines of one text, others alone.
+    def _learn(self, p: Pieces, at: np.ndarray) -> None:
+        """Tokenize new pieces: those without inner white space or added tokens as lines of short texts, others alone.
 
         A line break that ends such a piece is the line's own.
         """
-        broken = np.fromiter((x.endswith("\n") for x in new), bool, len(new))
-        bare = [x[:-1] if b else x for x, b in zip(new, broken, strict=True)]
-        plain = lambda x: LINE.fullmatch(x) is not None and not any(t in x for t in self.added)
-        inline = np.fromiter((self.line is not None and plain(x) for x in bare), bool, len(new))
-        start, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        together = np.flatnonzero(inline)
-        for a in range(0, len(together), LINES):
-            part = together[a : a + LINES]
-            ids = np.array(self.tok.encode_batch_fast(["".join([bare[i] + "\n" for i in part])], add_special_tokens=False)[0].ids, "<u4")
+        stop, inline = p.bare(at)
+        begin, end = p.start[at], p.stop[at]
+        if self.line is None:
+            inline[:] = False
+        for i in np.flatnonzero(~inline) if self.line is not None else ():
+            x = p.buf[begin[i] : stop[i]].decode("utf-8", "surrogatepass")
+            inline[i] = LINE.fullmatch(x) is not None and not any(t in x for t in self.added)
+        start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        part = np.flatnonzero(inline)
+        if len(part):
+            lines = [p.buf[a:b] for a, b in zip(begin[part].tolist(), stop[part].tolist(), strict=True)]
+            texts = [(b"\n".join(lines[k : k + LINES]) + b"\n").decode("utf-8", "surrogatepass") for k in range(0, len(lines), LINES)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
             breaks = np.flatnonzero(ids == self.line)
             first = np.concatenate(([0], breaks[:-1] + 1))
             start[part] = first + self._put(ids)
-            size[part] = breaks - first + broken[part]
+            size[part] = breaks - first + (end[part] > stop[part])
         alone = np.flatnonzero(~inline)
-        for i, e in zip(alone, self.tok.encode_batch_fast([new[i] for i in alone], add_special_tokens=False), strict=True):
+        whole = [p.buf[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begin[alone].tolist(), end[alone].tolist(), strict=True)]
+        for i, e in zip(alone, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             start[i], size[i] = self._put(e.ids), len(e.ids)
         self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
 
     def of(self, parts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, the same as of the whole text at once."""
-        if len(self.place) > MOST_PIECES or self.used > MOST_IDS:
+        if len(self.known) > MOST_PIECES or self.used > MOST_IDS:
             self.clear()
         p = Pieces(parts)
         kinds, at, back = np.unique(p.hash, return_index=True, return_inverse=True)
-        place = np.fromiter((self.place.get(h, -1) for h in kinds.tolist()), np.int64, len(kinds))
-        new = np.flatnonzero(place < 0)
+        slot = np.searchsorted(self.known, kinds)
+        old = np.minimum(slot, max(len(self.known) - 1, 0))
+        seen = self.known[old] == kinds if len(self.known) else np.zeros(len(kinds), bool)
+        new = np.flatnonzero(~seen)
+        place = self.place[old] if len(self.known) else np.zeros(len(kinds), np.int64)
         if len(new):
             place[new] = len(self.start) + np.arange(len(new))
-            self.place.update(zip(kinds[new].tolist(), place[new].tolist(), strict=True))
-            self._learn([p.piece(i).decode("utf-8", "surrogatepass") for i in at[new]])
+            self._learn(p, at[new])
+            self.known = np.insert(self.known, slot[new], kinds[new])
+            self.place = np.insert(self.place, slot[new], place[new])
         place = place[back]
         n = self.size[place]
         ends = np.concatenate(([0], np.cumsum(n)))

@@ -13,6 +13,11 @@ _HEAD[0xC3:0xF5] = True
 _HEAD[[0xE1, 0xE2, 0xE3]] = False  # these, and 0xC2, may begin white space beyond ASCII
 
 
+#: White space, '<' (which added tokens begin with), and bytes that may begin white space beyond ASCII.
+_ODD = np.zeros(256, bool)
+_ODD[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 class Pieces:
     """Pieces of a chunk: start and stop (bytes of buf), hash (uint64), and first, the index of each text's first piece.
 
@@ -39,3 +44,12 @@ class Pieces:
 
     def piece(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.stop[i]]
+
+    def bare(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(stop without a line break at the end, whether nothing odd is left but a space at the start) of the pieces."""
+        a = np.frombuffer(self.buf, np.uint8)
+        odd = np.concatenate(([0], np.cumsum(_ODD[a])))
+        start, stop = self.start[at], self.stop[at]
+        stop = stop - (a[stop - 1] == 0x0A)
+        space = a[start] == 0x20
+        return stop, (stop - start > space) & (odd[stop] - odd[start] == space)
