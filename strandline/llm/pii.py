@@ -23,7 +23,8 @@ PATTERNS = {
 }
 _BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"[^\x20\x09-\x0D]+"
-#: A term discloses an entity if PMI(term; entity) >= IC(entity) / ALPHA, seen in CONTEXT words around it in LEAST_TEXTS different texts or more.
+#: A term within CONTEXT words of an entity discloses it if PMI(term; entity) >= IC(entity) / ALPHA. Where fewer than LEAST_TEXTS
+#: different texts show them together, PMI must reach the whole of IC: the term stands nowhere else.
 ALPHA, LEAST_TEXTS, CONTEXT = 1.25, 2, 5
 #: Rows of terms, and of texts with terms, up to which they are broadcast; beyond it they are joined by key.
 BROADCAST_ROWS = 500_000
@@ -97,8 +98,9 @@ def disclosing_terms(bodies: DataFrame, alpha: float = ALPHA, least: int = LEAST
     """term of each word that discloses an entity; bodies: (body), a row a text, none null.
 
     p(entity) and p(term) are shares of all texts, copies counted as often as they occur, and
-    p(term, entity) of texts where the term is within `context` words of the entity's value;
-    at least `least` of these must differ, as one text and its copies show no pattern.
+    p(term, entity) of texts where the term is within `context` words of the entity's value.
+    The threshold is IC / alpha if at least `least` of these texts differ, else IC: one text
+    and its copies only show that the term never stands without the entity.
     """
     n = bodies.count()
     around = stored(bodies.withColumn("base", _base(F.col("body"))).where(F.size("base") > 0).select("body", F.xxhash64("body").alias("t"), F.explode("base").alias("s"))
@@ -108,11 +110,11 @@ def disclosing_terms(bodies: DataFrame, alpha: float = ALPHA, least: int = LEAST
     seen = stored(seen.groupBy("entity", "t").agg(F.max("copies").alias("copies"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     entities = seen.groupBy("entity").agg(F.sum("copies").alias("ne"))
     joint = seen.select("entity", "t", "copies", F.explode("near").alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("nj"), F.count("*").alias("texts"))
-    wanted = stored(joint.where(F.col("texts") >= least).join(entities.hint("merge"), "entity"))
+    wanted = stored(joint.join(entities.hint("merge"), "entity"))
     # all words are counted before any join, so that common ones never multiply
     counts = bodies.select(F.explode(_words(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
     pmi, ic = F.expr(f"ln(nj * {n}D / (nt * ne))"), F.expr(f"ln({n}D / ne)")
-    out = stored(counts.join(wanted.hint("merge"), "term").where(pmi >= ic / alpha).select("term").distinct())
+    out = stored(counts.join(wanted.hint("merge"), "term").where(pmi >= ic / F.when(F.col("texts") >= least, alpha).otherwise(1.0) - 1e-9).select("term").distinct())
     dropped(around, seen, wanted)
     return out
 
