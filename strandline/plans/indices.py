@@ -168,7 +168,9 @@ def i10_horizon(spark, sf_dir):
     """Cost that penalised routes can't exceed; infinite where there is no route."""
     p = table(spark, sf_dir, "part").withColumn("rho", F.explode(F.array(F.lit(1.25), F.lit(4.0)))).withColumn("k", F.explode(F.array(F.lit(3), F.lit(5))))
     cheapest = F.expr("CASE WHEN p_partkey % 10 = 0 THEN double('Infinity') ELSE p_retailprice END")
-    return p.select("p_partkey", "rho", "k", F.round(ensembles.horizon(cheapest, F.col("p_size"), F.col("k"), F.col("rho")), 3).alias("horizon"))
+    # a price that isn't known leaves the horizon unknown, as in SQL; only an infinite one says that there is no route
+    known = F.when(cheapest.isNotNull(), ensembles.horizon(cheapest, F.col("p_size"), F.col("k"), F.col("rho")))
+    return p.select("p_partkey", "rho", "k", F.round(known, 3).alias("horizon"))
 
 
 @query(f"WITH {_R}, b AS (SELECT *, min(cost) OVER (PARTITION BY d) AS m FROM r), k AS (SELECT d, route, row_number() OVER (PARTITION BY d ORDER BY route) AS k FROM b WHERE cost <= 1.25 * m) SELECT d, route FROM k WHERE k <= 3")
