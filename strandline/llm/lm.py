@@ -80,17 +80,57 @@ def _grams(batches):
     yield from _summed(held)
 
 
+def _mixed(h: np.ndarray, q):
+    return mix(h * np.uint64(31) + q * np.uint64(0x2545F4914F6CDD1D))
+
+
+def _slot(x: np.ndarray, i: int):
+    """The bit place of probe i within a block."""
+    return ((x >> np.uint64(15 * i + 4)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
+
+
 def _slots(h: np.ndarray, q: np.ndarray):
     """(len, PROBES) bit places within a block, from one 64-bit hash."""
-    x = mix(h * np.uint64(31) + q.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-    return np.stack([((x >> np.uint64(15 * i + 4)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for i in range(PROBES)], axis=1)
+    x = _mixed(h, q.astype(np.uint64))
+    return np.stack([_slot(x, i) for i in range(PROBES)], axis=1)
+
+
+def _packed(blocks: int):
+    """(call, h, q): the hashes and quantised counts of up to HELD n-grams that go into one call of _fill, as bytes.
+
+    A row a call instead of a row an n-gram moves the eight bytes of a hash and the one of a count, which is mostly 0, and little else.
+    """
+    def rows(held):
+        h, q = (np.concatenate(x) for x in zip(*held, strict=True))
+        call = (h % np.uint64(blocks) // np.uint64(BLOCKS_A_CALL)).astype(np.int32)
+        order = np.argsort(call, kind="stable")
+        h, q, call = h[order], q[order], call[order]
+        first = np.flatnonzero(np.concatenate(([True], call[1:] != call[:-1])))
+        cuts = np.append(first, len(h)).tolist()
+        for a in range(0, len(first), 1 << 10):
+            at = range(a, min(a + (1 << 10), len(first)))
+            yield pd.DataFrame({"call": call[first[at.start : at.stop]], "h": [h[cuts[i] : cuts[i + 1]].tobytes() for i in at], "q": [q[cuts[i] : cuts[i + 1]].tobytes() for i in at]})
+
+    def run(batches):
+        held, size = [], 0
+        for pdf in batches:
+            if len(pdf):
+                held.append((pdf["h"].to_numpy().view(np.uint64), pdf["q"].to_numpy(np.int8)))
+                size += len(pdf)
+            if size > HELD:
+                yield from rows(held)
+                held, size = [], 0
+        if held:
+            yield from rows(held)
+    return run
 
 
 def _fill(blocks: int):
-    """The bits of BLOCKS_A_CALL neighbouring blocks, those with insertions, from rows (h, q)."""
+    """The bits of BLOCKS_A_CALL neighbouring blocks, those with insertions, from rows of _packed."""
     def run(key, pdf):
         first = int(key[0]) * BLOCKS_A_CALL
-        q, each = pdf["q"].to_numpy().astype(np.int64) + 1, pdf["h"].to_numpy().view(np.uint64)
+        each = np.frombuffer(b"".join(pdf["h"]), np.uint64)
+        q = np.frombuffer(b"".join(pdf["q"]), np.int8).astype(np.int64) + 1
         h = np.repeat(each, q)
         row = np.repeat((each % np.uint64(blocks)).astype(np.int64) - first, q)
         step = np.arange(len(h)) - np.repeat(np.cumsum(q) - q, q)
@@ -113,16 +153,22 @@ class Filter:
     def counts(self, h: np.ndarray) -> np.ndarray:
         """The quantised count of each hash, 0 if absent."""
         kinds, back = np.unique(h, return_inverse=True)
-        block = (kinds % np.uint64(self.blocks)).astype(np.int64)
-        found, live = np.full(len(kinds), -1), np.arange(len(kinds))
+        return self.distinct(kinds)[back]
+
+    def distinct(self, kinds: np.ndarray) -> np.ndarray:
+        """counts() of hashes of which none comes twice; a probe is read only where those before it hit."""
+        place = (kinds % np.uint64(self.blocks)).astype(np.int64) * (BLOCK_BITS // 8)
+        bits, found, live = self.bits.reshape(-1), np.full(len(kinds), -1), np.arange(len(kinds))
         for q in range(_LEVELS):
-            s = _slots(kinds[live], np.full(len(live), q))
-            hit = ((self.bits[block[live][:, None], s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).all(axis=1)
-            live = live[hit]
+            x = _mixed(kinds[live], np.array([q], np.uint64))
+            for i in range(PROBES):
+                s = _slot(x, i)
+                hit = np.flatnonzero(bits[place[live] + (s >> 3)] >> (7 - (s & 7)).astype(np.uint8) & 1)
+                live, x = live[hit], x[hit]
             if not len(live):
                 break
             found[live] = q
-        return np.where(found < 0, 0.0, 2.0 ** ((found + 0.5) / 2))[back]
+        return np.where(found < 0, 0.0, 2.0 ** ((found + 0.5) / 2))
 
 
 def read_back(n):
@@ -146,14 +192,15 @@ def _scored(bc, table_bc, total: int, kinds: int, total_q: float):
             for first, parts in chunks(pdf["text"]):
                 doc, token, before = _sequence(Words(parts))
                 n, score = len(parts), np.zeros(len(parts))
+                words, of = np.unique(token, return_inverse=True)  # a chunk's words are looked up once
                 if bc is not None:
-                    one = bc.value.counts(token)
+                    one = bc.value.distinct(words)[of]
                     prior = np.where(before == 0, 0.0, np.concatenate(([0.0], one[:-1])))
                     p = _probability(one, prior, bc.value.counts(_pair(before, token)), total_q, kinds)
                     score = np.bincount(doc, np.log10(p), n)
-                at = np.minimum(np.searchsorted(h, token), max(len(h) - 1, 0))
-                listed = h[at] == token if len(h) else np.zeros(len(token), bool)
-                exact = np.where(listed, c[at] if len(h) else 0, 0)
+                at = np.minimum(np.searchsorted(h, words), max(len(h) - 1, 0))
+                there = h[at] == words if len(h) else np.zeros(len(words), bool)
+                listed, exact = there[of], np.where(there, c[at] if len(h) else 0, 0)[of]
                 base = np.where(listed, np.log10((exact + 0.5) / (total + 0.5 * (kinds + 1))), 0.0)
                 rest = np.flatnonzero(~listed)
                 rest = rest[np.lexsort((token[rest], doc[rest]))]
@@ -228,7 +275,7 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, most_blocks:
     insertions = int(grams.agg(F.sum(level + 1)).first()[0] or 0)
     blocks = max(1, -(-insertions // INSERTIONS_A_BLOCK))
     # only what the filter keeps is moved again: the hash and the quantised count
-    placed = grams.select("h", level.cast("tinyint").alias("q"), F.floor(_block("h", blocks) / BLOCKS_A_CALL).cast("int").alias("call"))
+    placed = grams.select("h", level.cast("tinyint").alias("q")).mapInPandas(_packed(blocks), "call int, h binary, q binary")
     filled = stored(placed.groupBy("call").applyInPandas(_fill(blocks), "block int, bits binary"))
     small = blocks <= most_blocks
     bc = spark.sparkContext.broadcast(Filter(blocks, filled.toLocalIterator())) if small else None

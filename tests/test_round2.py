@@ -1,8 +1,11 @@
 """What round 2 found: results on odd inputs, and kernels that hold larger graphs and searches."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 from strandline import catalog
+from strandline.llm import lm
 
 
 def test_horizon_of_odd_prices(spark, tmp_path):
@@ -12,3 +15,16 @@ def test_horizon_of_odd_prices(spark, tmp_path):
     got = {(r.p_partkey, r.rho, r.k): repr(r.horizon) for r in catalog.QUERIES["i10_horizon"](spark, str(tmp_path)).collect()}
     want = {(a, b, c): repr(h) for a, b, c, h in duckdb.sql(f"SELECT p_partkey, rho, k, horizon FROM ({catalog.ORACLE_SQL['i10_horizon']}) q").fetchall()}
     assert got == want and len(got) == 48
+
+
+def test_filter_rows_are_packed_by_call():
+    rng = np.random.default_rng(5)
+    h, q, blocks = rng.integers(-(2**63), 2**63, 30_000), rng.integers(0, 4, 30_000).astype(np.int8), 500
+    batches = [pd.DataFrame({"h": h[a : a + 7_000], "q": q[a : a + 7_000]}) for a in range(0, 30_000, 7_000)]
+    rows = pd.concat(lm._packed(blocks)(iter([*batches, batches[0][:0]])))
+    assert len(rows) == rows["call"].nunique() == -(-blocks // lm.BLOCKS_A_CALL)  # a row a call, not a row an n-gram
+    assert rows["h"].map(len).sum() == 8 * len(h) and rows["q"].map(len).sum() == len(h)
+    found = pd.concat([lm._fill(blocks)((int(c),), g) for c, g in rows.groupby("call")])
+    got = lm.Filter(blocks, list(found.itertuples(index=False))).counts(h.view(np.uint64))
+    assert (got >= 2.0 ** ((q + 0.5) / 2) - 1e-9).all() and (got == 2.0 ** ((q + 0.5) / 2)).mean() > 0.9
+    assert not list(lm._packed(blocks)(iter([])))
