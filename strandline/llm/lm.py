@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.fetch import fetched
+from strandline.fetch import fetched
 from strandline.llm.sampling import remainder
 from strandline.llm.words import Words, chunks, mix
 from strandline.session import ensure_workers, stored

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.flow import Graph, broadcast_graph, cancelled
+from strandline.fetch import fetched
+from strandline.operators.flow import Graph, broadcast_graph, cancelled, packed
 from strandline.operators.paths import Streets, broadcast_streets
 
 TOLERANCE = 1e-9
@@ -31,7 +32,7 @@ class Support:
     def mask(self, budget: float) -> dict:
         """Arcs within the budget, for searches in either direction."""
         forward = self.mu <= budget + TOLERANCE
-        return {False: forward.tolist(), True: forward[self.graph.twin].tolist() if len(forward) else []}
+        return {False: forward.tolist(), True: forward[np.array(self.graph.twin, np.int64)].tolist()}
 
     def count(self, budget: float, cap: int) -> int:
         return self.graph.routes(self.entry, self.targets, cap, mask=self.mask(budget))[0]
@@ -132,6 +133,16 @@ def attained(arcs: DataFrame, access: DataFrame, demands: DataFrame, r: int = 2)
     return out.where("budget IS NOT NULL")
 
 
+class _Open:
+    """Whether an arc's way is not closed."""
+
+    def __init__(self, of, closed: set[int]):
+        self.of, self.closed = of, closed
+
+    def __getitem__(self, e: int) -> bool:
+        return self.of[e] not in self.closed
+
+
 def way_disjoint(arcs: DataFrame, access: DataFrame, demands: DataFrame, rounds: int = 3) -> DataFrame:
     """d, status, cancelled of demands with two disjoint routes: 'witness' if two share no way, else 'affected'.
 
@@ -139,24 +150,29 @@ def way_disjoint(arcs: DataFrame, access: DataFrame, demands: DataFrame, rounds:
     most `rounds` times. cancelled: streets that the first flow used both ways.
     """
     bg = broadcast_graph(arcs, access)
-    t = arcs.select(F.col("u").cast("long"), F.col("v").cast("long"), F.col("way").cast("string")).toPandas()  # checked by broadcast_graph
-    ways = arcs.sparkSession.sparkContext.broadcast(t)
+    # checked by broadcast_graph; a way's name travels once, its arcs as numbers
+    known = arcs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("way").cast("string").alias("way")).where("u IS NOT NULL AND v IS NOT NULL")
+    t = fetched(known.select("u", "v", F.xxhash64("way").alias("way")))
+    _, number = np.unique(t["way"], return_inverse=True)
+    graph = bg.value[0]
+    of = np.full(len(graph.head), -1, np.int32)
+    of[graph.places(t["u"], t["v"])] = number[t["u"] != t["v"]]
+    ways = arcs.sparkSession.sparkContext.broadcast(packed(of))
+    del graph
 
     def run(batches):
         graph, targets = bg.value
-        t = ways.value
-        of: dict[int, str] = dict(zip(graph.places(t["u"].to_numpy(), t["v"].to_numpy()).tolist(), t["way"], strict=True))
+        of = ways.value
         for pdf in batches:
             out = []
             for d, nodes in zip(pdf["d"], pdf["entry"], strict=True):
                 entry = graph.index(nodes)
                 if not entry or set(entry) & targets:
                     continue
-                closed: set[str] = set()
+                closed: set[int] = set()
                 status, pairs = "affected", None
                 for _ in range(rounds):
-                    forward = [of.get(e) not in closed for e in range(len(graph.head))] if closed else None
-                    mask = None if forward is None else {False: forward, True: [forward[x] for x in graph.twin]}
+                    mask = {False: _Open(of, closed)} if closed else None  # routes lead from entries here
                     k, changed, _ = graph.routes(entry, targets, 2, mask=mask)
                     if k < 2:
                         break
@@ -165,7 +181,7 @@ def way_disjoint(arcs: DataFrame, access: DataFrame, demands: DataFrame, rounds:
                     two = graph.decompose(used, entry, targets)[:2]
                     if len(two) < 2:
                         break
-                    names = [{of[int(e)] for e in graph.places(graph.nodes[p[:-1]], graph.nodes[p[1:]])} for p in two]
+                    names = [{of[graph.place(x, y)] for x, y in zip(p[:-1], p[1:], strict=True)} for p in two]
                     shared = names[0] & names[1]
                     if not shared:
                         status = "witness"

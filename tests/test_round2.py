@@ -1,11 +1,15 @@
 """What round 2 found: results on odd inputs, and kernels that hold larger graphs and searches."""
 
+import pickle
+import sys
+
 import duckdb
 import numpy as np
 import pandas as pd
 
 from strandline import catalog
 from strandline.llm import lm
+from strandline.operators import flow, paths
 
 
 def test_horizon_of_odd_prices(spark, tmp_path):
@@ -28,3 +32,25 @@ def test_filter_rows_are_packed_by_call():
     got = lm.Filter(blocks, list(found.itertuples(index=False))).counts(h.view(np.uint64))
     assert (got >= 2.0 ** ((q + 0.5) / 2) - 1e-9).all() and (got == 2.0 ** ((q + 0.5) / 2)).mean() > 0.9
     assert not list(lm._packed(blocks)(iter([])))
+
+
+def test_graphs_are_packed():
+    n = 100_000
+    u = np.concatenate([np.arange(n), np.arange(n)])
+    v = np.concatenate([np.arange(n) + 1, np.arange(n) + 400])
+    g = flow.Graph(u, v)
+    assert len(pickle.dumps(g)) < 30 * len(g.head) and sys.getsizeof(g.head) < 5 * len(g.head)
+    s = paths.Streets(u, v, np.ones(len(u)))
+    assert len(pickle.dumps(s)) < 40 * len(u) and s.place(5, 405) == s.start[5] + 1 and s.head[s.place(5, 6)] == 6
+    assert g.routes([0], {500})[0] == 2 and g.routes([500], {0}, backwards=True)[0] == 2
+    # a search with a penalty copies no costs
+    assert s.penalised([0], {401}, 2, 4.0)[0] == [0, 1, 401] or s.penalised([0], {401}, 2, 4.0)[0] == [0, 400, 401]
+
+
+def test_a_graph_serves_several_access_sets(spark):
+    arcs = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "u long, v long")
+    d = spark.createDataFrame([(1,)], "d long")
+    node = lambda *x: spark.createDataFrame([(i,) for i in x], "node long")
+    bc = flow.broadcast_graph(arcs, node(4))
+    got = [flow.route_counts(arcs, d, a, bc=bc).first().kappa for a in (None, node(3), node(4, 99))]
+    assert got == [1, 2, 1]
