@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,38 +16,91 @@ from strandline.operators.paths import Streets, broadcast_streets
 TOLERANCE = 1e-9
 
 
+class _Within:
+    """Whether the cheapest route over an arc keeps to the budget; arcs that were not met do not."""
+
+    def __init__(self, mu: dict, budget: float, twin=None):
+        self.mu, self.budget, self.twin = mu, budget + TOLERANCE, twin
+
+    def __getitem__(self, e: int) -> bool:
+        return self.mu.get(e if self.twin is None else self.twin[e], np.inf) <= self.budget
+
+
 class Support:
-    """Arcs of a graph ordered by the cheapest route that uses each, from one entry set."""
+    """Arcs of a graph ordered by the cheapest route that uses each, from one entry set.
+
+    Arcs are met in that order: a search by cost so far plus cost to access pops nodes so that
+    an arc within a budget is known as soon as all nodes within it are, so what is searched
+    follows the budget and not the graph. mu has the arcs met up to now.
+    """
 
-    def __init__(self, graph: Graph, streets: Streets, entry_nodes, goals, to_access: np.ndarray):
-        self.graph, self.targets = graph, set(graph.index(goals))
+    def __init__(self, graph: Graph, streets: Streets, entry_nodes, goals, to_access, targets=None):
+        self.graph, self.streets, self.to_access = graph, streets, to_access
+        self.targets = set(graph.index(goals)) if targets is None else targets
         self.entry = graph.index(entry_nodes)
-        t = np.array(streets.distances(streets.index(entry_nodes)))
-        tail, head = np.array(streets.tail, np.int64), np.array(streets.head, np.int64)
-        mu = t[tail] + np.array(streets.cost) + to_access[head]
-        self.mu = np.full(len(graph.head), np.inf)
-        place = graph.places(streets.nodes[tail], streets.nodes[head])
-        self.mu[place] = mu
-        at = streets.index(goals)
-        self.cheapest = float(t[at].min()) if at else np.inf
+        at = streets.index(entry_nodes)
+        self.dist = dict.fromkeys(at, 0.0)
+        self.heap = [(to_access[x], x) for x in self.dist]
+        heapq.heapify(self.heap)
+        self.done: set[int] = set()
+        self.mu: dict[int, float] = {}
+        self.cheapest = float(min((to_access[x] for x in self.dist), default=np.inf))
+        self.most: dict[int, int] = {}
+
+    def extend(self, budget: float) -> bool:
+        """Meet all arcs within the budget; whether any may be left."""
+        streets, to_access, dist, heap, done = self.streets, self.to_access, self.dist, self.heap, self.done
+        head, start, cost = streets.head, streets.start, streets.cost
+        while heap and heap[0][0] <= budget + 2 * TOLERANCE:
+            _, x = heapq.heappop(heap)
+            if x in done or to_access[x] == np.inf:
+                continue
+            done.add(x)
+            d = dist[x]
+            for e in range(start[x], start[x + 1]):
+                y = head[e]
+                rest = to_access[y]
+                if rest < np.inf and y != x:
+                    t, at = d + cost[e], self.graph.place(x, y)
+                    self.mu[at] = min(t + rest, self.mu.get(at, np.inf))
+                    if t < dist.get(y, np.inf):
+                        dist[y] = t
+                        if y not in done:
+                            heapq.heappush(heap, (t + rest, y))
+        return bool(heap) and heap[0][0] < np.inf
 
     def mask(self, budget: float) -> dict:
         """Arcs within the budget, for searches in either direction."""
-        forward = self.mu <= budget + TOLERANCE
-        return {False: forward.tolist(), True: forward[np.array(self.graph.twin, np.int64)].tolist()}
+        self.extend(budget)
+        return {False: _Within(self.mu, budget), True: _Within(self.mu, budget, self.graph.twin)}
 
     def count(self, budget: float, cap: int) -> int:
         return self.graph.routes(self.entry, self.targets, cap, mask=self.mask(budget))[0]
 
-    def thresholds(self) -> np.ndarray:
-        v = np.unique(self.mu[np.isfinite(self.mu)])
-        return v[v >= self.cheapest - TOLERANCE]
+    def possible(self, r: int) -> bool:
+        """Whether any budget has r disjoint routes: arcs of routes lie within some budget, so the whole graph tells."""
+        if r not in self.most:
+            self.most[r] = self.graph.routes(self.entry, self.targets, r)[0]
+        return self.most[r] >= r
+
+    def enough(self, r: int) -> float:
+        """A budget with r disjoint routes; all arcs within it are met."""
+        budget, step = self.cheapest, max(self.cheapest / 4, 1.0)
+        while self.count(budget, r) < r:
+            budget, step = budget + step, step * 2
+        return budget
+
+    def thresholds(self, budget: float) -> np.ndarray:
+        """Costs up to the budget at which arcs come in."""
+        self.extend(budget)
+        v = np.unique(np.fromiter(self.mu.values(), float, len(self.mu)))
+        return v[(v >= self.cheapest - TOLERANCE) & (v <= budget + TOLERANCE)]
 
     def least_budget(self, r: int) -> float:
         """The least threshold with r disjoint routes; infinite if no budget has them."""
-        v = self.thresholds()
-        if not len(v) or self.count(v[-1], r) < r:
+        if not np.isfinite(self.cheapest) or not self.possible(r):
             return np.inf
+        v = self.thresholds(self.enough(r))
         lo, hi = 0, len(v) - 1
         while lo < hi:
             mid = (lo + hi) // 2
@@ -54,15 +109,16 @@ class Support:
 
     def swept(self, r: int) -> tuple[float, bool]:
         """The same by trying all thresholds in order, and whether counts never fell."""
-        last, found, steady = 0, np.inf, True
-        for b in self.thresholds():
+        last, steady = 0, True
+        if not np.isfinite(self.cheapest) or not self.possible(r):
+            return np.inf, steady
+        for b in self.thresholds(self.enough(r)):
             k = self.count(b, r)
             steady &= k >= last
             last = k
             if k >= r:
-                found = float(b)
-                break
-        return found, steady
+                return float(b), steady
+        return np.inf, steady
 
     def witness(self, r: int, budget: float) -> list[list[int]]:
         """r routes within the budget that share no arc, streets used both ways cancelled; empty if there are none."""
@@ -77,7 +133,7 @@ class Support:
 
 def _supports(arcs: DataFrame, access: DataFrame):
     """What a kernel needs: broadcast graph, broadcast streets and access nodes."""
-    goals = access.select(F.col("node").cast("long").alias("n")).distinct().toPandas()["n"].to_numpy()  # at most a graph's nodes
+    goals = fetched(access.select(F.col("node").cast("long").alias("n")).where("n IS NOT NULL").distinct())["n"]  # at most a graph's nodes
     return broadcast_graph(arcs, access), broadcast_streets(arcs), goals
 
 
@@ -86,11 +142,12 @@ def _run(arcs, access, demands, schema, row):
 
     def run(batches):
         graph, streets = bg.value[0], bs.value
-        to_access = np.array(streets.distances(streets.index(goals), True))
+        to_access = streets.distances(streets.index(goals), True)
+        targets = set(graph.index(goals))
         for pdf in batches:
             out = []
             for d, entry in zip(pdf["d"], pdf["entry"], strict=True):
-                s = Support(graph, streets, entry, goals, to_access)
+                s = Support(graph, streets, entry, goals, to_access, targets)
                 if s.entry:
                     out.append((d, *row(s)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])

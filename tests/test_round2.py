@@ -9,7 +9,7 @@ import pandas as pd
 
 from strandline import catalog
 from strandline.llm import lm
-from strandline.operators import flow, paths
+from strandline.operators import flow, frontier, paths
 
 
 def test_horizon_of_odd_prices(spark, tmp_path):
@@ -54,3 +54,21 @@ def test_a_graph_serves_several_access_sets(spark):
     bc = flow.broadcast_graph(arcs, node(4))
     got = [flow.route_counts(arcs, d, a, bc=bc).first().kappa for a in (None, node(3), node(4, 99))]
     assert got == [1, 2, 1]
+
+
+def test_budgets_are_searched_near_the_demand():
+    wide, n = 200, 200 * 200
+    x = np.arange(n)
+    east, south = x[x % wide < wide - 1], x[x + wide < n]
+    u, v = np.concatenate([east, east + 1, south, south + wide]), np.concatenate([east + 1, east, south + wide, south])
+    w = 50.0 + (u * 37 + v * 11) % 100
+    graph, streets, goal = flow.Graph(u, v), paths.Streets(u, v, w), 100 * wide + 100
+    to = streets.distances(streets.index([goal]), True)
+    s = frontier.Support(graph, streets, [goal - 3], [goal], to)
+    found, (swept, steady) = s.least_budget(2), s.swept(2)
+    assert found == swept and steady and len(s.mu) < 2_000  # of 159,200 arcs
+    t, tail, head = np.array(streets.distances([goal - 3])), np.array(streets.tail), np.array(streets.head)
+    mu = t[tail] + np.array(streets.cost) + np.array(to)[head]
+    whole = lambda b: graph.routes([goal - 3], {goal}, 2, mask={False: mu <= b + 1e-9})[0]
+    assert whole(found) == 2 and whole(mu[mu < found - 1e-9].max()) == 1
+    assert len(s.witness(2, found)) == 2 and s.least_budget(5) == np.inf  # four streets lead from a node
