@@ -98,3 +98,15 @@ def _metrics(plan) -> str:
         out += f"numOutputRows={plan.metrics().apply('numOutputRows').value()} "
     kids = plan.children()
     return out + "".join(_metrics(kids.apply(i)) for i in range(kids.size()))
+
+
+def test_searches_together_equal_searches_apart():
+    rng = np.random.default_rng(3)
+    u, v = rng.integers(0, 300, 900), rng.integers(0, 300, 900)
+    arcs = np.unique(np.stack([u, v], axis=1), axis=0)
+    for w in (rng.integers(50, 150, len(arcs)).astype(float), rng.random(len(arcs)) + 0.01, rng.integers(0, 3, len(arcs)).astype(float)):
+        s = paths.Streets(arcs[:, 0], arcs[:, 1], w)
+        for back in (False, True):
+            for cutoff in (np.inf, 200.0):
+                got = s.spread(list(range(40)), back, cutoff)
+                assert np.allclose(got, [s.distances([x], back, cutoff) for x in range(40)])
