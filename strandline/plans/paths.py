@@ -223,22 +223,19 @@ def p22_override(spark, sf_dir):
 @query("SELECT unnest([0.0, 0.5, 2.0])::DOUBLE AS strength, 0::BIGINT AS differ")
 def p23_invariance(spark, sf_dir):
     """Route counts don't depend on the friction strength: how many differ from those without friction."""
-    d, access = single(spark, sf_dir), lattice.access(spark, sf_dir)
-
-    def counted(arcs, name):
-        bc = flow.broadcast_graph(arcs, access)
-        k = stored(flow.route_counts(arcs, d, None, cap=2, bc=bc).select("d", F.col("kappa").alias(name)))
-        bc.destroy()  # one graph at a time is held
-        return k
-
-    base = counted(graph(spark, sf_dir), "k0")
+    plain = graph(spark, sf_dir).select("u", "v", F.lit(-1.0).alias("city"))
+    strengths = [0.0, 0.5, 2.0]
+    cities = [flow.collapse(_phi(spark, sf_dir).select("u", "v", streets.overridden(F.col("w"), F.col("phi"), x).alias("w"))).select("u", "v", F.lit(x).alias("city")) for x in strengths]
+    access = lattice.access(spark, sf_dir).withColumn("city", F.explode(F.array(*[F.lit(x) for x in (-1.0, *strengths)])))
+    # a graph a task, each with counts of its own
+    k = stored(flow.two_counts(reduce(DataFrame.unionByName, [plain, *cities]), single(spark, sf_dir), access).select("city", "d", "kappa"))
+    base = k.where("city = -1").select("d", F.col("kappa").alias("k0"))
 
     def one(strength):
-        a = flow.collapse(_phi(spark, sf_dir).select("u", "v", streets.overridden(F.col("w"), F.col("phi"), strength).alias("w")))
-        k = counted(a, "kappa").join(base, "d", "full")
-        return k.agg(F.sum((~F.col("kappa").eqNullSafe(F.col("k0"))).cast("long")).alias("differ")).select(F.lit(strength).alias("strength"), "differ")
+        t = k.where(F.col("city") == strength).join(base, "d", "full")
+        return t.agg(F.coalesce(F.sum((~F.col("kappa").eqNullSafe(F.col("k0"))).cast("long")), F.lit(0).cast("long")).alias("differ")).select(F.lit(strength).alias("strength"), "differ")
 
-    return reduce(DataFrame.unionByName, [one(s) for s in (0.0, 0.5, 2.0)])
+    return reduce(DataFrame.unionByName, [one(x) for x in strengths])
 
 
 @query(f"""WITH {_NET}, p AS ({_PHI}), g AS (SELECT unnest([0.0, 0.5, 1.0, 2.0]) AS strength), t AS (SELECT strength, round(CAST(sum(w * (1 + strength * coalesce(phi, 0))) AS DOUBLE), 6) AS total FROM p JOIN net USING (u, v), g GROUP BY 1)
