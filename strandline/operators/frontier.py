@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.fetch import fetched
-from strandline.operators.flow import Graph, broadcast_graph, cancelled, packed
+from strandline.fetch import fetched, made
+from strandline.operators.flow import Graph, broadcast_graph, cancelled, graph_of, graph_rows, packed
 from strandline.operators.paths import Streets, broadcast_streets
 
 TOLERANCE = 1e-9
@@ -206,20 +206,23 @@ def way_disjoint(arcs: DataFrame, access: DataFrame, demands: DataFrame, rounds:
     arcs: (u, v, way); when two routes share ways these are closed and the search repeated, at
     most `rounds` times. cancelled: streets that the first flow used both ways.
     """
-    bg = broadcast_graph(arcs, access)
-    # checked by broadcast_graph; a way's name travels once, its arcs as numbers
-    known = arcs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("way").cast("string").alias("way")).where("u IS NOT NULL AND v IS NOT NULL")
-    t = fetched(known.select("u", "v", F.xxhash64("way").alias("way")))
-    _, number = np.unique(t["way"], return_inverse=True)
-    graph = bg.value[0]
-    of = np.full(len(graph.head), -1, np.int32)
-    of[graph.places(t["u"], t["v"])] = number[t["u"] != t["v"]]
-    ways = arcs.sparkSession.sparkContext.broadcast(packed(of))
-    del graph
+    # a way's name travels as its hash, once, and its arcs as numbers
+    rows = graph_rows(arcs.select("u", "v", F.xxhash64(F.col("way").cast("string")).alias("way")), access, "way")
+
+    def make(t):
+        arc = t["goal"] == 0
+        _, number = np.unique(t["way"][arc], return_inverse=True)
+        graph, targets = graph_of(t)
+        u, v = t["u"][arc], t["v"][arc]
+        of = np.full(len(graph.head), -1, np.int32)
+        of[graph.places(u, v)] = number[u != v]
+        return graph, targets, packed(of)
+
+    bg = made(rows, make)
+    rows._strandline_plain.unpersist()
 
     def run(batches):
-        graph, targets = bg.value
-        of = ways.value
+        graph, targets, of = bg.value
         for pdf in batches:
             out = []
             for d, nodes in zip(pdf["d"], pdf["entry"], strict=True):

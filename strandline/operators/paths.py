@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.fetch import fetched
+from strandline.fetch import fetched, made
 from strandline.operators.flow import MOST_ARCS, packed
 from strandline.session import ensure_workers
 
@@ -233,15 +233,15 @@ class Streets:
 
 
 def broadcast_streets(arcs: DataFrame):
-    """A broadcast Streets of collapsed arcs (u, v, w), behind a check of their number."""
+    """A broadcast Streets of collapsed arcs (u, v, w), made in a task behind a check of their number."""
     ensure_workers(arcs.sparkSession)
     plain = arcs.select(F.col("u").cast("long"), F.col("v").cast("long"), F.col("w").cast("double")).cache()
     n = plain.count()
     if n > MOST_ARCS:
         raise ValueError(f"{n} arcs exceed MOST_ARCS; split the table by city")
-    t = fetched(plain)
+    bc = made(plain, lambda t: Streets(t["u"], t["v"], t["w"]))
     plain.unpersist()
-    return arcs.sparkSession.sparkContext.broadcast(Streets(t["u"], t["v"], t["w"]))
+    return bc
 
 
 def _nodes(df: DataFrame, name: str) -> np.ndarray:
