@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.fetch import made
+from strandline.operators.flow import MOST_ARCS
+from strandline.session import ensure_workers
+
 
 def days(closures: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and day of each day that a closure (start, stop) is in force, both ends included.
@@ -60,21 +66,43 @@ def severed_days(stranded: DataFrame, closures: DataFrame, weights: DataFrame) -
 def walks(arcs: DataFrame, starts: DataFrame, length: str = "size", times: int = 1) -> DataFrame:
     """closure, rep, arcs: a random contiguous walk of `size` arcs for each (closure, size) and replicate.
 
-    Steps are chosen by an integer hash of (closure, rep, step); the walk is a row that joins
-    the arcs once a step, and one that has nowhere to go ends early.
+    Steps are chosen by an integer hash of (closure, rep, step); a walk that has nowhere to go
+    ends early. Arcs are a bounded dimension, and each walk is taken whole in a task.
     """
-    out = arcs.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("next"))
-    nodes = arcs.select(F.col("u").alias("node")).distinct().withColumn("i", F.row_number().over(Window.orderBy("node")) - 1)
-    n = max(nodes.count(), 1)
+    ensure_workers(arcs.sparkSession)
+    plain = arcs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL").cache()
+    if (n := plain.count()) > MOST_ARCS:
+        raise ValueError(f"{n} arcs exceed MOST_ARCS; split the table by city")
+
+    def rows_of(t):
+        order = np.lexsort((t["v"], t["u"]))
+        nodes, start = np.unique(t["u"][order], return_index=True)
+        return nodes, np.append(start, len(order)), t["v"][order]
+
+    bc = made(plain, rows_of)
+    plain.unpersist()
+
+    def run(batches):
+        nodes, start, to = bc.value
+        place = {x: i for i, x in enumerate(nodes.tolist())}
+        for pdf in batches:
+            out = []
+            for closure, size, rep in zip(pdf["closure"].tolist(), pdf["size"], pdf["rep"].tolist(), strict=True):
+                if not place or pd.isna(closure):
+                    continue
+                i, walk = (closure * 48271 + rep * 69621 + 16807) % len(nodes), []
+                for step in range(0 if pd.isna(size) else int(size)):
+                    if i is None:
+                        break
+                    y = int(to[start[i] + (closure * 31 + rep * 17 + step * 13) % (start[i + 1] - start[i])])
+                    walk.append({"u": int(nodes[i]), "v": y})
+                    i = place.get(y)
+                out.append((closure, rep, walk))
+            yield pd.DataFrame(out, columns=["closure", "rep", "arcs"])
+
     rows = starts.select("closure", F.col(length).cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep"))
-    rows = rows.withColumn("i", F.pmod(F.expr("closure * 48271 + rep * 69621 + 16807"), F.lit(n))).join(nodes, "i").select("closure", "rep", "size", F.col("node").alias("at"), F.expr("cast(array() AS array<struct<u:bigint,v:bigint>>)").alias("arcs"))
-    most = starts.agg(F.max(length)).first()[0] or 0
-    for step in range(int(most)):
-        pick = F.get("next", F.pmod(F.expr(f"closure * 31 + rep * 17 + {step} * 13"), F.size("next")).cast("int"))
-        on = rows.join(out, F.col("at") == F.col("u"), "left").withColumn("to", F.when(F.col("size") > step, pick))
-        grown = F.when(F.col("to").isNotNull(), F.concat("arcs", F.array(F.struct(F.col("at").cast("long").alias("u"), F.col("to").cast("long").alias("v"))))).otherwise(F.col("arcs"))
-        rows = on.select("closure", "rep", "size", F.coalesce("to", "at").alias("at"), grown.alias("arcs"))
-    return rows.select("closure", "rep", "arcs")
+    dealt = rows.repartition(max(arcs.sparkSession.sparkContext.defaultParallelism * 2, 1), "closure", "rep")
+    return dealt.mapInPandas(run, f"closure {dict(starts.dtypes)['closure']}, rep int, arcs array<struct<u:bigint,v:bigint>>")
 
 
 def overlap(closures: DataFrame, lines: DataFrame, trim: float = 10.0, buffer: float = 12.0, least: float = 0.6, samples: int = 21) -> DataFrame:
