@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.fetch import fetched, made
-from strandline.operators.flow import MOST_ARCS, packed
+from strandline.operators.flow import MOST_ARCS, packed, spread_hops, strong_labels
 from strandline.session import ensure_workers
 
 INF = float("inf")
@@ -232,14 +232,14 @@ class Streets:
         return out
 
 
-def broadcast_streets(arcs: DataFrame):
-    """A broadcast Streets of collapsed arcs (u, v, w), made in a task behind a check of their number."""
+def broadcast_streets(arcs: DataFrame, of=None):
+    """A broadcast Streets (or what `of` makes of it) of collapsed arcs (u, v, w), made in a task behind a check of their number."""
     ensure_workers(arcs.sparkSession)
     plain = arcs.select(F.col("u").cast("long"), F.col("v").cast("long"), F.col("w").cast("double")).cache()
     n = plain.count()
     if n > MOST_ARCS:
         raise ValueError(f"{n} arcs exceed MOST_ARCS; split the table by city")
-    bc = made(plain, lambda t: Streets(t["u"], t["v"], t["w"]))
+    bc = made(plain, lambda t: (of or (lambda g: g))(Streets(t["u"], t["v"], t["w"])))
     plain.unpersist()
     return bc
 
@@ -360,6 +360,96 @@ def potentials(bc, demands: DataFrame, access: DataFrame, budget: float) -> Data
     return _dealt(demands.select(F.col("d").cast("long"), "entry"), "d").mapInPandas(run, "d long, nodes long, total double, arcs long, least double, within long")
 
 
+class Corridors:
+    """Answers on the arcs that routes from entry nodes to access points use, without a search of the whole graph each.
+
+    A search ends where it meets a strong component of `large` nodes or more; what a set of
+    those reaches is found once.
+    """
+
+    KEPT = 64
+
+    def __init__(self, g: Streets, goals: list[int], large: int = 64):
+        self.g, self.to, self.reached = g, array("d", g.distances(goals, True)), {}
+        tail, head = np.array(g.tail, np.int64), np.array(g.head, np.int64)
+        rest = np.array(g.cost) + np.array(self.to)[head]
+        self.rest = array("d", rest.tobytes())  # from an arc's tail over it to access
+        # arcs of a node from which access is reached
+        self.good = array("q", np.bincount(tail[np.isfinite(rest)], minlength=g.n).astype(np.int64).tobytes())
+        label = np.array(strong_labels(g.start, g.head), np.int64)
+        size = np.bincount(label, minlength=1)
+        self.large = packed(np.where(size[label] >= large, label, -1)) if g.n else packed([])
+
+    def _reached(self, some: dict[int, int]):
+        """(mask of the nodes that these large components reach, arcs of theirs from which access is reached)."""
+        key = frozenset(some)
+        if key not in self.reached:
+            if len(self.reached) >= self.KEPT:
+                self.reached.clear()
+            mask = spread_hops(np.frombuffer(self.g.start, np.int32), np.frombuffer(self.g.head, np.int32), np.array(list(some.values())))
+            self.reached[key] = mask.tobytes(), int(np.frombuffer(self.good, np.int64)[mask].sum())
+        return self.reached[key]
+
+    def arcs(self, entry) -> int:
+        """Arcs with a route over them from an entry node to access."""
+        g, met, stack, seen = self.g, {}, list(entry), set(entry)
+        while stack:
+            x = stack.pop()
+            if self.large[x] >= 0:
+                met[self.large[x]] = x
+                continue
+            for e in range(g.start[x], g.start[x + 1]):
+                y = g.head[e]
+                if y not in seen:
+                    seen.add(y)
+                    stack.append(y)
+        if not met:
+            return sum(self.good[x] for x in seen)
+        mask, n = self._reached(met)
+        return n + sum(self.good[x] for x in seen if not mask[x])
+
+    def least(self, entry) -> float:
+        """Cost of the cheapest route of one arc or more: it begins with an arc of an entry node."""
+        g = self.g
+        return min((self.rest[e] for x in entry for e in range(g.start[x], g.start[x + 1])), default=INF)
+
+    def within(self, entry, budget: float) -> int:
+        """Arcs with such a route within the budget; nodes from which access is farther aren't left."""
+        g, most, n = self.g, budget * (1 + 1e-9) + 1e-9, 0
+        dist, heap = dict.fromkeys(entry, 0.0), [(0.0, x) for x in entry]
+        heapq.heapify(heap)
+        while heap:
+            d, x = heapq.heappop(heap)
+            if d > dist[x]:
+                continue
+            for e in range(g.start[x], g.start[x + 1]):
+                n += d + self.rest[e] <= budget
+                y, t = g.head[e], d + g.cost[e]
+                if t < dist.get(y, INF) and t + self.to[y] <= most:
+                    dist[y] = t
+                    heapq.heappush(heap, (t, y))
+        return n
+
+
+def corridors(arcs: DataFrame, demands: DataFrame, access: DataFrame, budget: float) -> DataFrame:
+    """d, arcs, least, within of potentials(), for entry sets (d, entry) that have an arc with a route over it to access."""
+    goals = arcs.sparkSession.sparkContext.broadcast(_nodes(access, "node"))  # at most a graph's nodes count
+    bc = broadcast_streets(arcs, lambda g: Corridors(g, g.index(goals.value)))
+
+    def run(batches):
+        c = bc.value
+        for pdf in batches:
+            out = []
+            for d, nodes in zip(pdf["d"], pdf["entry"], strict=True):
+                at = sorted(set(c.g.index(nodes)))
+                if at and (n := c.arcs(at)):
+                    least = c.least(at)
+                    out.append((d, n, least, c.within(at, budget) if least <= budget else 0))
+            yield pd.DataFrame(out, columns=["d", "arcs", "least", "within"])
+
+    return _dealt(demands.select(F.col("d").cast("long"), "entry"), "d").mapInPandas(run, "d long, arcs long, least double, within long")
+
+
 ROUTES = "d long, generator string, route int, cost double, nodes array<long>"
 
 

@@ -82,8 +82,7 @@ def p4_from_entry(spark, sf_dir):
 SELECT s.d, count(*) AS arcs, min(s.t + n.w + a.t) AS least, sum(CASE WHEN s.t + n.w + a.t <= 800 THEN 1 ELSE 0 END)::BIGINT AS within FROM ds s JOIN net n ON n.u = s.x JOIN da a ON a.x = n.v GROUP BY s.d""")
 def i11_potentials(spark, sf_dir):
     """Cost of the cheapest route from an entry set to access that uses an arc: arcs with one, the least, and those within 800."""
-    p = paths.potentials(_bc(spark, sf_dir), _entries(spark, sf_dir), lattice.access(spark, sf_dir), 800.0)
-    return p.where("arcs > 0").select("d", "arcs", "least", "within")
+    return paths.corridors(graph(spark, sf_dir), _entries(spark, sf_dir), lattice.access(spark, sf_dir), 800.0)
 
 
 def _route_rows(spark, sf_dir, k: int = 4):
