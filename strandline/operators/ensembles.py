@@ -6,6 +6,8 @@ demand has a bounded number of routes, so its rows meet in one aggregate of a fe
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +85,24 @@ def largest_disjoint(sets: list[frozenset]) -> int:
     return best((1 << n) - 1)
 
 
+MEASURED = "n long, exp_h double, rpe double, li double, deng double, h_norm double, disjoint int"
+
+
+def measured(costs: list[float], sets: list[frozenset], eta: float = ETA, k: int = 15) -> tuple:
+    """MEASURED of one ensemble, of its routes' costs and arcs: the numbers of indices() and disjoint_routes()."""
+    n, least = len(costs), min(costs)
+    p = [math.exp(-eta * (c - least)) for c in costs]
+    total = sum(p)
+    p = [x / total for x in p]
+    h = -sum(x * math.log(max(min(x, 1.0), 1e-12)) for x in p)
+    own, mean = sum(x * x for x in p), 1.0
+    if n > 1:
+        jac = [(i, j, (both := len(sets[i] & sets[j])) and both / (len(sets[i]) + len(sets[j]) - both)) for i in range(n) for j in range(i + 1, n)]
+        own += sum(2 * p[i] * p[j] * x for i, j, x in jac)
+        mean = sum(x for _, _, x in jac) / len(jac)
+    return n, math.exp(h), 1 / own, 1 - mean, float(n), h / max(math.log(max(k, 1)), 1e-9), largest_disjoint(sets)
+
+
 def disjoint_routes(routes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by, n, disjoint: the most routes of an ensemble of which no two share an arc."""
     ensure_workers(routes.sparkSession)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.fetch import fetched, made
+from strandline.operators import ensembles
 from strandline.operators.flow import MOST_ARCS, packed, spread_hops, strong_labels
 from strandline.session import ensure_workers
 
@@ -125,8 +126,14 @@ class Streets:
                 ranges.setdefault(int(r), []).append(part)
         return dist.reshape(len(sources), n)
 
-    def route(self, entry, targets, cost=None, banned=frozenset(), closed=frozenset()):
-        """(cost, nodes) of the cheapest route from an entry node to a target, without banned nodes and closed arcs; or None."""
+    def route(self, entry, targets, cost=None, banned=frozenset(), closed=frozenset(), ahead=None):
+        """(cost, nodes) of the cheapest route from an entry node to a target, without banned nodes and closed arcs; or None.
+
+        ahead: cost from each node to the nearest target by the graph's own costs, all above 0
+        and none above `cost`. It leads the search; the route is the same one.
+        """
+        if ahead is not None:
+            return self._led(entry, targets, cost, banned, closed, ahead)
         cost = self.cost if cost is None else cost
         dist, came, done = {}, {}, set()
         heap = [(0.0, s, -1) for s in sorted(set(entry)) if s not in banned]
@@ -150,17 +157,58 @@ class Streets:
                     heapq.heappush(heap, (t, y, e))
         return None
 
+    def _led(self, entry, targets, cost, banned, closed, ahead):
+        """route(), by nodes in order of their cost and that ahead of them; those at the cheapest route's or less are all settled."""
+        cost = self.cost if cost is None else cost
+        start, head, tail, back, back_start, push, pop = self.start, self.head, self.tail, self.back, self.back_start, heapq.heappush, heapq.heappop
+        dist = {s: 0.0 for s in entry if s not in banned and ahead[s] < INF}
+        heap, done, most, goal = [(ahead[s], 0.0, s) for s in dist], {}, INF, None
+        heapq.heapify(heap)
+        while heap:
+            f, d, x = pop(heap)
+            if f > most:
+                break
+            if d > dist[x] or x in done and done[x] <= d:
+                continue
+            done[x] = d
+            if x in targets:
+                if goal is None or (d, x) < goal:
+                    goal, most = (d, x), d + d * 1e-9 + 1e-9
+                continue
+            for e in range(start[x], start[x + 1]):
+                y = head[e]
+                t = d + cost[e]
+                if t < dist.get(y, INF) and ahead[y] < INF and y not in banned and e not in closed:
+                    dist[y] = t
+                    push(heap, (t + ahead[y], t, y))
+        if goal is None:
+            return None
+        d, x = goal
+        path = [x]
+        while d > 0:
+            # the first settled node (by cost, then number) from which the cost is attained
+            d, x = min((done[u], u) for i in range(back_start[x], back_start[x + 1]) if (u := tail[e := back[i]]) in done and done[u] + cost[e] == d and e not in closed and u not in targets)
+            path.append(x)
+        return goal[0], path[::-1]
+
+    def ahead(self, targets):
+        """What route() takes as ahead; None if an arc costs nothing or less."""
+        return array("d", self.distances(targets, True)) if len(self.cost) and min(self.cost) > 0 else None
+
     def arcs_of(self, path) -> list[int]:
         return [self.place(x, y) for x, y in zip(path[:-1], path[1:], strict=True)]
 
     def length(self, path) -> float:
         return float(sum(self.cost[e] for e in self.arcs_of(path)))
 
-    def penalised(self, entry, targets, k: int, penalty: float) -> list[list[int]]:
-        """k cheapest routes in turn, each used arc then costing penalty * cost + 1; a prefix for a smaller k."""
+    def penalised(self, entry, targets, k: int, penalty: float, first=None, ahead=None) -> list[list[int]]:
+        """k cheapest routes in turn, each used arc then costing penalty * cost + 1; a prefix for a smaller k.
+
+        first: what route() found, if that is known; ahead: as in route().
+        """
         cost, out = _Raised(self.cost), []
-        for _ in range(k):
-            found = self.route(entry, targets, cost)
+        for i in range(k):
+            found = first if first and not i else self.route(entry, targets, cost if i else None, ahead=ahead if penalty >= 1 else None)
             if not found:
                 break
             out.append(found[1])
@@ -168,9 +216,9 @@ class Streets:
                 cost[e] = cost[e] * penalty + 1.0
         return out
 
-    def shortest(self, entry, targets, k: int) -> list[list[int]]:
+    def shortest(self, entry, targets, k: int, first=None, ahead=None) -> list[list[int]]:
         """The k cheapest routes without loops from any entry node to any target, by deviations from those found."""
-        first = self.route(entry, targets)
+        first = first or self.route(entry, targets, ahead=ahead)
         if not first:
             return []
         found, heap, seen = [first[1]], [], {tuple(first[1])}
@@ -183,11 +231,11 @@ class Streets:
                     break
                 if i < 0:
                     starts = [s for s in entry if s not in {p[0] for p in found}]
-                    spur = self.route(starts, targets) if starts else None
+                    spur = self.route(starts, targets, ahead=ahead) if starts else None
                     new = spur[1] if spur else None
                 else:
                     closed = {self.place(p[i], p[i + 1]) for p in found if len(p) > i + 1 and p[: i + 1] == root}
-                    spur = self.route([root[-1]], targets, banned=frozenset(root[:-1]), closed=closed)
+                    spur = self.route([root[-1]], targets, banned=frozenset(root[:-1]), closed=closed, ahead=ahead)
                     new = root[:-1] + spur[1] if spur else None
                 if new and tuple(new) not in seen:
                     seen.add(tuple(new))
@@ -490,24 +538,45 @@ def routes(bc, demands: DataFrame, access: DataFrame, k: int, generators: dict)
     generators: name -> penalty of the iterated penalised search, or None for the k cheapest
     loopless routes. Demands that reach no access point have no rows.
     """
-    goals = _nodes(access, "node")
+    def rows(g, d, name, found):
+        return [(d, name, i, g.length(p), g.nodes[p].tolist()) for i, p in enumerate(found)]
+
+    return _found(bc, demands, access, k, generators, rows, ROUTES)
+
+
+def _found(bc, demands: DataFrame, access: DataFrame, k: int, generators: dict, rows, schema: str) -> DataFrame:
+    """What rows(graph, d, generator, its routes) makes of the routes of each demand (d, entry) and generator."""
+    goals = access.sparkSession.sparkContext.broadcast(_nodes(access, "node"))  # at most a graph's nodes count
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {x.split()[0]: "int32" for x in schema.split(", ") if x.split()[1] == "int"}
 
     def run(batches):
         g = bc.value
-        targets = set(g.index(goals))
+        targets = set(g.index(goals.value))
+        ahead = g.ahead(targets)
         for pdf in batches:
             out = []
             for d, nodes in zip(pdf["d"], pdf["entry"], strict=True):
                 entry = g.index(nodes)
-                for name, penalty in generators.items():
-                    found = (g.shortest(entry, targets, k) if penalty is None else g.penalised(entry, targets, k, penalty)) if entry else []
-                    out += [(d, name, i, g.length(p), g.nodes[p].tolist()) for i, p in enumerate(found)]
-            yield pd.DataFrame(out, columns=["d", "generator", "route", "cost", "nodes"]).astype({"route": "int32"})
+                first = g.route(entry, targets, ahead=ahead) if entry else None
+                if first:
+                    for name, penalty in generators.items():
+                        out += rows(g, d, name, g.shortest(entry, targets, k, first, ahead) if penalty is None else g.penalised(entry, targets, k, penalty, first, ahead))
+            yield pd.DataFrame(out, columns=names).astype(kinds)
+
+    return _dealt(demands.select(F.col("d").cast("long"), "entry").distinct(), "d").mapInPandas(run, schema)
+
+
+def route_indices(bc, demands: DataFrame, access: DataFrame, k: int, generators: dict) -> DataFrame:
+    """d, generator, n, exp_h, rpe, li, deng, h_norm, disjoint of routes(): ensembles.measured(), where the routes are found."""
+    def rows(g, d, name, found):
+        sets = [frozenset(g.arcs_of(p)) for p in found]
+        return [(d, name, *ensembles.measured([g.length(p) for p in found], sets))]
 
-    return _dealt(demands.select(F.col("d").cast("long"), "entry").distinct(), "d").mapInPandas(run, ROUTES)
+    return _found(bc, demands, access, k, generators, rows, f"d long, generator string, {ensembles.MEASURED}")
 
 
-def betweenness(bc, sources: DataFrame, targets: DataFrame, damping: float = 0.0, backwards: bool = False) -> DataFrame:
+def betweenness(bc, sources: DataFrame, targets: DataFrame, damping: float = 0.0, backwards: bool = False, plain: bool = False) -> DataFrame:
     """u, v, b: pair-weighted shares of cheapest routes over each arc that has any.
 
     sources (node, w) and targets (node, w); a pair weighs the product. Each source is one

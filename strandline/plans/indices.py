@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandline.functions import stats, weighted
 from strandline.operators import ensembles, flow, paths
 from strandline.plans.kappa import graph
-from strandline.plans.paths import _bc, _entries, _route_rows
+from strandline.plans.paths import GENERATORS, _bc, _entries
 from strandline.plans.statistics import _auc_sql
 from strandline.registry import query
 from strandline.session import stored, table
@@ -191,11 +191,9 @@ def p10_route_costs(spark, sf_dir):
 @query()
 def r56_route_ensembles(spark, sf_dir):
     """Indices, disjoint families and labels of penalised routes from entry sets."""
-    r = stored(ensembles.with_arcs(_route_rows(spark, sf_dir)))
-    by = ["d", "generator"]
-    k = flow.route_counts(graph(spark, sf_dir), _entries(spark, sf_dir), lattice.access(spark, sf_dir)).select("d", "kappa", "colocated")
-    out = ensembles.indices(r, by).join(ensembles.disjoint_routes(r, by).drop("n"), by)
-    return out.join(k, "d")
+    entries, access = stored(_entries(spark, sf_dir)), lattice.access(spark, sf_dir)
+    k = flow.route_counts(graph(spark, sf_dir), entries, access).select("d", "kappa", "colocated")
+    return paths.route_indices(_bc(spark, sf_dir), entries, access, 4, GENERATORS).join(k, "d")
 
 
 @query()

@@ -85,8 +85,11 @@ def i11_potentials(spark, sf_dir):
     return paths.corridors(graph(spark, sf_dir), _entries(spark, sf_dir), lattice.access(spark, sf_dir), 800.0)
 
 
+GENERATORS = {"penalty4": 4.0, "penalty125": 1.25, "shortest": None}
+
+
 def _route_rows(spark, sf_dir, k: int = 4):
-    return paths.routes(_bc(spark, sf_dir), _entries(spark, sf_dir), lattice.access(spark, sf_dir), k, {"penalty4": 4.0, "penalty125": 1.25, "shortest": None})
+    return paths.routes(_bc(spark, sf_dir), _entries(spark, sf_dir), lattice.access(spark, sf_dir), k, GENERATORS)
 
 
 @query(f"""WITH RECURSIVE {_NET}, {_ENTRY}, {_NEAREST} SELECT d, g.generator, min(t) AS cost FROM ent JOIN da ON x = e, (SELECT unnest(['penalty4', 'penalty125', 'shortest']) AS generator) g GROUP BY 1, 2""")

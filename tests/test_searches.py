@@ -1,7 +1,9 @@
 """Searches that several results share or that a bound leads give what the plain ones give."""
 
 import numpy as np
-from strandline.operators import paths
+import pytest
+
+from strandline.operators import ensembles, paths
 
 
 class Read(list):
@@ -30,3 +32,46 @@ def test_dependencies_look_back_once():
     g.cost = Read(g.cost)
     found = g.dependencies(3, dict.fromkeys(range(g.n), 1.0), 0.1)
     assert found and g.cost.times <= 2 * len(g.head)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_led_routes_are_the_plain_ones(seed):
+    rng, g = street(seed, least=1.0 if seed % 2 else 0.1)
+    targets = set(rng.choice(g.n, 6, replace=False).tolist())
+    ahead, read = g.ahead(targets), [0, 0]
+    g.cost = Read(g.cost)
+    for _ in range(40):
+        entry, out = sorted(set(rng.choice(g.n, 3).tolist())), []
+        for i, a in enumerate((None, ahead)):
+            g.cost.times = 0
+            out.append([g.route(entry, targets, ahead=a), g.shortest(entry, targets, 4, ahead=a), g.penalised(entry, targets, 4, 4.0, ahead=a), g.penalised(entry, targets, 4, 1.25, ahead=a)])
+            read[i] += g.cost.times
+        assert out[0] == out[1]
+    assert read[1] < 0.7 * read[0]
+
+
+def test_no_lead_over_arcs_that_cost_nothing():
+    assert paths.Streets([0, 1], [1, 2], [0.0, 1.0]).ahead({2}) is None
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_indices_where_routes_are_found(spark):
+    _, g = street(2, 6)
+    arcs = spark.createDataFrame([(int(g.nodes[a]), int(g.nodes[b]), c) for a, b, c in zip(g.tail, g.head, g.cost, strict=True)], "u long, v long, w double")
+    bc = paths.broadcast_streets(arcs)
+    # 35 lies at an access point, 99 isn't in the graph
+    d = spark.createDataFrame([(x, [x, x + 1]) for x in (0, 7, 14, 34)] + [(99, [99])], "d long, entry array<long>")
+    access = spark.createDataFrame([(35,), (28,)], "node long")
+    kinds = {"penalty4": 4.0, "penalty125": 1.25, "shortest": None}
+    by = ["d", "generator"]
+    r = ensembles.with_arcs(paths.routes(bc, d, access, 4, kinds))
+    want = ensembles.indices(r, by).join(ensembles.disjoint_routes(r, by).drop("n"), by)
+    got = paths.route_indices(bc, d, access, 4, kinds)
+    assert got.dtypes == want.dtypes
+    a, b = rows(got), rows(want)
+    assert len(a) == len(b) > 0 and {x[0] for x in a} >= {34}
+    for x, y in zip(a, b, strict=True):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], rel=1e-12)
