@@ -75,3 +75,29 @@ def test_indices_where_routes_are_found(spark):
     assert len(a) == len(b) > 0 and {x[0] for x in a} >= {34}
     for x, y in zip(a, b, strict=True):
         assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], rel=1e-12)
+
+
+def test_one_search_loads_several_weights():
+    _, g = street(0)
+    weights = [[float(x % 5) for x in range(g.n)], [1.0] * g.n, [0.0] * g.n]
+    want = [g.dependencies(3, dict(enumerate(w)), 0.1) for w in weights]
+    g.cost = Read(g.cost)
+    g.dependencies(3, dict(enumerate(weights[0])), 0.1)
+    once, g.cost.times = g.cost.times, 0
+    found = g.loads(3, weights, 0.1)
+    assert g.cost.times == once and not found[2]
+    for a, b in zip(found, want, strict=True):
+        assert a == pytest.approx(b, rel=1e-12)
+
+
+def test_betweenness_of_two_weights(spark):
+    _, g = street(1, 6)
+    arcs = spark.createDataFrame([(int(g.nodes[a]), int(g.nodes[b]), c) for a, b, c in zip(g.tail, g.head, g.cost, strict=True)], "u long, v long, w double")
+    bc = paths.broadcast_streets(arcs)
+    src = spark.createDataFrame([(3, 1.0), (20, 2.0)], "node long, w double")
+    to = spark.createDataFrame([(x, float(x % 4)) for x in range(0, 36, 2)] + [(99, 1.0)], "node long, w double")
+    both = paths.betweenness(bc, src, to, 0.1, plain=True)
+    one, ones = paths.betweenness(bc, src, to, 0.1), paths.betweenness(bc, src, to.selectExpr("node", "1D AS w"), 0.1)
+    for got, want in ((both.select("u", "v", "b").where("b > 0"), one), (both.select("u", "v", "b_plain").where("b_plain > 0"), ones)):
+        a, b = rows(got), rows(want)
+        assert [x[:2] for x in a] == [x[:2] for x in b] and [x[2] for x in a] == pytest.approx([x[2] for x in b], rel=1e-12)
