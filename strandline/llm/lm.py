@@ -4,7 +4,8 @@ Counts of all words and word pairs, those seen once included, are quantised to
 q = floor(2 log2 c) and each n-gram is put into the filter with 0..q; its count is read back
 by probing q = 0, 1, ... until a probe fails. The filter is blocked: an n-gram's probes stay
 in one block, so blocks are built apart from each other and their number follows what is
-inserted, without a bound. A filter too large to broadcast is probed by a join on the block.
+inserted, without a bound. A filter too large to broadcast is probed where its blocks are: each
+chunk of texts sends the hashes of its distinct n-grams there and gets a byte for each.
 Single words have P(w) = (q(w) + 1/2) / (sum of all q + (V + 1) / 2), q being the count read
 back; pairs P(w | v) = LAMBDA * min(q(v w), q(v)) / q(v) + (1 - LAMBDA) * P(w).
 Base scores use exact word counts: the most frequent words are broadcast, up to a bound, and
@@ -13,6 +14,8 @@ tokens of all other words are joined.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from strandline.fetch import fetched
 from strandline.llm.sampling import remainder
 from strandline.llm.words import Words, chunks, mix
-from strandline.session import ensure_workers, stored
+from strandline.session import dropped, ensure_workers, stored
 
 #: A block of BLOCK_BITS bits takes so many insertions on average (17 % of its bits set); up to MOST_BLOCKS (256 MB) the filter is broadcast.
 BLOCK_BITS, INSERTIONS_A_BLOCK, MOST_BLOCKS, PROBES = 1 << 15, 1 << 11, 1 << 16, 3
@@ -31,6 +34,10 @@ BROADCAST_WORDS, MOST_FLOOR = 1_000_000, 1_000
 BLOCKS_A_CALL = 64
 #: N-grams that a task holds before it passes their counts on.
 HELD = 2_000_000
+#: Tokens of a chunk of texts that asks for counts together, on average.
+ASKING = 1_000_000
+#: Shares of the chunks that ask one after the other, as what they send takes up disk until it is answered.
+TURNS = 4
 LAMBDA = 0.6
 END = np.uint64(0x51ED270B35B1A9C7)
 _LEVELS = 80
@@ -144,11 +151,12 @@ def _fill(blocks: int):
 class Filter:
     """The filter's bits and its reader."""
 
-    def __init__(self, blocks: int, rows):
-        self.blocks = blocks
-        self.bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
+    def __init__(self, blocks: int, rows, first: int = 0, held: int | None = None):
+        """rows have the bits of some of the `held` blocks (all) from the one numbered first on."""
+        self.blocks, self.first = blocks, first
+        self.bits = np.zeros((blocks if held is None else held, BLOCK_BITS // 8), np.uint8)
         for r in rows:
-            self.bits[r.block] = np.frombuffer(r.bits, np.uint8)
+            self.bits[r.block - first] = np.frombuffer(r.bits, np.uint8)
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """The quantised count of each hash, 0 if absent."""
@@ -156,8 +164,12 @@ class Filter:
         return self.distinct(kinds)[back]
 
     def distinct(self, kinds: np.ndarray) -> np.ndarray:
-        """counts() of hashes of which none comes twice; a probe is read only where those before it hit."""
-        place = (kinds % np.uint64(self.blocks)).astype(np.int64) * (BLOCK_BITS // 8)
+        """counts() of hashes of which none comes twice."""
+        return _of_levels(self.levels(kinds))
+
+    def levels(self, kinds: np.ndarray) -> np.ndarray:
+        """The highest q of each hash, -1 if absent; a probe is read only where those before it hit."""
+        place = ((kinds % np.uint64(self.blocks)).astype(np.int64) - self.first) * (BLOCK_BITS // 8)
         bits, found, live = self.bits.reshape(-1), np.full(len(kinds), -1), np.arange(len(kinds))
         for q in range(_LEVELS):
             x = _mixed(kinds[live], np.array([q], np.uint64))
@@ -168,7 +180,12 @@ class Filter:
             if not len(live):
                 break
             found[live] = q
-        return np.where(found < 0, 0.0, 2.0 ** ((found + 0.5) / 2))
+        return found
+
+
+def _of_levels(q: np.ndarray) -> np.ndarray:
+    """The count of each level, 0 below 0."""
+    return np.where(q < 0, 0.0, 2.0 ** ((q + 0.5) / 2))
 
 
 def read_back(n):
@@ -215,43 +232,90 @@ def _scored(bc, table_bc, total: int, kinds: int, total_q: float):
     return run
 
 
-def _pair_rows(batches):
-    for pdf in batches:
-        ids = pdf["row"]
-        for first, parts in chunks(pdf["text"]):
-            doc, token, before = _sequence(Words(parts))
-            f = pd.DataFrame({"row": doc + first, "h": token.view(np.int64), "b": before.view(np.int64)}).value_counts().rename("k").reset_index()
-            f["row"] = ids.to_numpy()[f["row"]]
-            yield f.assign(pair=_pair(f["b"].to_numpy().view(np.uint64), f["h"].to_numpy().view(np.uint64)).view(np.int64))
-
+def _kinds(texts, blocks: int):
+    """Hashes of the distinct n-grams of texts, sorted, their order by the call of _fill that has their block, and the calls in it."""
+    held = [np.zeros(0, np.uint64)]
+    for _, parts in chunks(texts):
+        _, token, before = _sequence(Words(parts))
+        held += [np.sort(token), _pair(before, token)]
+        held[-2] = held[-2][np.concatenate(([True], held[-2][1:] != held[-2][:-1]))]
+    kinds = np.sort(np.concatenate(held))
+    kinds = kinds[np.concatenate(([True], kinds[1:] != kinds[:-1]))] if len(kinds) else kinds
+    call = (kinds % np.uint64(blocks) // np.uint64(BLOCKS_A_CALL)).astype(np.uint16 if blocks < BLOCKS_A_CALL << 16 else np.int32)
+    order = np.argsort(call, kind="stable")  # of two bytes: sorted by digits
+    return kinds, order, call[order].astype(np.int32)
+
+
+def _places(kinds: np.ndarray):
+    """A function of hashes, all among kinds (sorted): where they stand. They are spread evenly, so their first bits nearly tell."""
+    bits = max(1, int(len(kinds)).bit_length())
+    shift = np.uint64(64 - bits)
+    start = np.searchsorted(kinds >> shift, np.arange(1 << bits, dtype=np.uint64))
+
+    def of(h):
+        at = start[(h >> shift).astype(np.int64)]
+        live = np.flatnonzero(kinds[at] != h)
+        while len(live):
+            at[live] += 1
+            live = live[kinds[at[live]] != h[live]]
+        return at
+    return of
+
+
+def _asked(blocks: int):
+    """chunk, call, h: the distinct n-grams of a chunk of texts, a row a call, eight bytes an n-gram."""
+    def run(key, pdf):
+        kinds, order, call = _kinds(pdf["text"], blocks)
+        first = np.flatnonzero(np.concatenate(([True], call[1:] != call[:-1])))
+        return pd.DataFrame({"chunk": np.full(len(first), key[0], np.int64), "call": call[first], "h": [x.tobytes() for x in np.split(kinds[order], first[1:])]})
+    return run
 
-def _probe(_, wanted, filled):
-    h = wanted["h"].to_numpy().view(np.uint64)
-    return pd.DataFrame({"h": wanted["h"], "c": Filter(1, [r._replace(block=0) for r in filled.itertuples(index=False)]).counts(h)})
 
+def _answered(blocks: int):
+    """chunk, call, q: a level a hash of _asked, a byte each."""
+    def run(key, asked, filled):
+        first = int(key[0]) * BLOCKS_A_CALL
+        bits = Filter(blocks, filled.itertuples(index=False), first, BLOCKS_A_CALL)
+        sizes = [len(x) // 8 for x in asked["h"]]
+        h = np.frombuffer(b"".join(asked["h"]), np.uint64)
+        q = np.concatenate([bits.levels(h[a : a + HELD]) for a in range(0, len(h), HELD)] or [np.zeros(0)]).astype(np.int8)
+        return pd.DataFrame({"chunk": asked["chunk"], "call": asked["call"], "q": [x.tobytes() for x in np.split(q, np.cumsum(sizes)[:-1])] if sizes else []})
+    return run
 
-def _block(h: str, blocks: int):
-    """h as an unsigned number, mod blocks."""
-    return F.expr(f"cast(pmod(pmod(shiftrightunsigned({h}, 1), {blocks}) * 2 + ({h} & 1), {blocks}) AS int)")
 
+def _weighed(blocks: int, total: float, kinds: int):
+    """row, score of the texts of a chunk, by the answers to what _asked sends for it."""
+    def run(texts, answers):
+        if not len(texts):
+            return pd.DataFrame({"row": np.zeros(0, np.int64), "score": np.zeros(0)})
+        texts = texts.drop_duplicates("row")
+        known, order, _ = _kinds(texts["text"], blocks)
+        q = np.empty(len(known), np.int8)
+        q[order] = np.frombuffer(b"".join(answers.sort_values("call")["q"]), np.int8)
+        table, places, score = _of_levels(np.arange(-1, _LEVELS)), _places(known), []
+        counts = lambda h: table[q[places(h)].astype(np.int64) + 1]
+        for _, parts in chunks(texts["text"]):
+            doc, token, before = _sequence(Words(parts))
+            one = counts(token)
+            prior = np.where(before == 0, 0.0, np.concatenate(([0.0], one[:-1])))
+            score.append(np.bincount(doc, np.log10(_probability(one, prior, counts(_pair(before, token)), total, kinds)), len(parts)))
+        return pd.DataFrame({"row": texts["row"], "score": np.concatenate(score)})
+    return run
 
-def _joined_model(rows: DataFrame, filled: DataFrame, blocks: int, total: float, kinds: int) -> DataFrame:
-    """row, n_tokens, score of each of rows (row, text), row being distinct; no part of the filter but one block is held at once."""
-    seen = stored(rows.mapInPandas(_pair_rows, "row long, h long, b long, k long, pair long"))
-    pairs = seen.groupBy("pair").agg(F.first("h").alias("h"), F.first("b").alias("b"))
-    wanted = pairs.select(F.explode(F.array("pair", "h")).alias("h")).distinct().withColumn("block", _block("h", blocks))
-    counts = stored(wanted.groupBy("block").cogroup(filled.groupBy("block")).applyInPandas(_probe, "h long, c double"))
-    named = lambda key, out: counts.select(F.col("h").alias(key), F.col("c").alias(out))
-    known = pairs.join(named("pair", "two"), "pair").join(named("h", "one"), "h").join(named("b", "prior"), "b", "left")
 
-    def weigh(batches):
-        for pdf in batches:
-            prior = np.where(pdf["b"] == 0, 0.0, pdf["prior"].fillna(0.0))
-            p = _probability(pdf["one"].to_numpy(), prior, pdf["two"].to_numpy(), total, kinds)
-            yield pd.DataFrame({"pair": pdf["pair"], "lp": np.log10(p)})
+def _sent_model(rows: DataFrame, filled: DataFrame, blocks: int, total: float, kinds: int, tokens: int) -> DataFrame:
+    """row, score of each distinct row of rows (row, text), of so many tokens; no part of the filter but a call's blocks is held at once.
 
-    lp = known.mapInPandas(weigh, "pair long, lp double")
-    return seen.join(lp, "pair").groupBy("row").agg(F.sum("k").alias("n_tokens"), F.sum(F.col("k") * F.col("lp")).alias("score"))
+    What is moved is the texts, twice, eight bytes a distinct n-gram of a chunk, and one byte back.
+    """
+    dealt = rows.withColumn("chunk", F.expr(f"pmod(row, {max(1, -(-tokens // ASKING))})"))
+    there = filled.withColumn("call", F.expr(f"cast(block div {BLOCKS_A_CALL} AS int)"))
+    answers = []
+    for turn in range(TURNS):
+        asked = dealt.where(F.col("chunk") % TURNS == turn).groupBy("chunk").applyInPandas(_asked(blocks), "chunk long, call int, h binary")
+        answers.append(stored(asked.groupBy("call").cogroup(there.groupBy("call")).applyInPandas(_answered(blocks), "chunk long, call int, q binary")))
+    answers = reduce(DataFrame.unionByName, answers)
+    return stored(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_weighed(blocks, total, kinds), "row long, score double"))
 
 
 def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -268,7 +332,7 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, most_blocks:
     docs = docs.select("doc_id", "text")
     train = docs.where(remainder("doc_id", 5) != 1).select("text")
     grams = stored(train.mapInPandas(_grams, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")))
-    words = grams.where("kind = 1").select("h", "n")
+    words = stored(grams.where("kind = 1").select("h", "n"))
     level = F.expr(f"least(floor(2 * log2(n) + 1e-9), {_LEVELS - 1})")  # log2 of 8 is not quite 3 there
     sums = words.agg(F.sum("n"), F.count("*"), F.sum(F.pow(F.lit(2.0), (level + 0.5) / 2))).first()
     total, kinds, total_q = int(sums[0] or 0), int(sums[1]), float(sums[2] or 0.0)
@@ -277,8 +341,11 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, most_blocks:
     # only what the filter keeps is moved again: the hash and the quantised count
     placed = grams.select("h", level.cast("tinyint").alias("q")).mapInPandas(_packed(blocks), "call int, h binary, q binary")
     filled = stored(placed.groupBy("call").applyInPandas(_fill(blocks), "block int, bits binary"))
+    dropped(grams)
     small = blocks <= most_blocks
     bc = spark.sparkContext.broadcast(Filter(blocks, filled.toLocalIterator())) if small else None
+    if small:
+        dropped(filled)
     # the least count from which on words fit the broadcast table
     by = {r["c"]: r["w"] for r in words.groupBy(F.least("n", F.lit(MOST_FLOOR)).alias("c")).agg(F.count("*").alias("w")).collect()}
     floor = next((c for c in range(1, MOST_FLOOR + 1) if sum(w for n, w in by.items() if n >= c) <= broadcast_words), None)
@@ -301,7 +368,8 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, most_blocks:
     if more is not None:
         out = out.join(more.hint("merge"), "row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0)))
     if not small:
-        once = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").dropDuplicates(["row"])
-        out = out.drop("score").join(_joined_model(once, filled, blocks, total_q, kinds).select("row", "score").hint("merge"), "row")
+        rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+        tokens = int(out.agg(F.sum("n_tokens")).first()[0] or 0)
+        out = out.drop("score").join(_sent_model(rows, filled, blocks, total_q, kinds, tokens).hint("merge"), "row")
     held = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), held, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
