@@ -57,9 +57,10 @@ def indices(routes: DataFrame, by: list[str] | None = None, eta: float = ETA, k:
     a = p.select(*by, F.col("route").alias("i"), F.col("arcs").alias("a"), F.col("p").alias("pa"))
     b = p.select(*by, F.col("route").alias("j"), F.col("arcs").alias("b"), F.col("p").alias("pb"))
     both, either = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
-    pairs = a.join(b, by).where("i < j").withColumn("jac", F.when(either > 0, both / either).otherwise(0.0))
+    # both sides grow with the demands: merged, never built as one table in the driver, however small they look compressed
+    pairs = a.join(b.hint("merge"), by).where("i < j").withColumn("jac", F.when(either > 0, both / either).otherwise(0.0))
     cross = pairs.groupBy(*by).agg(F.sum(F.expr("2 * pa * pb * jac")).alias("cross"), F.avg("jac").alias("mean"))
-    out = h.join(cross, by, "left")
+    out = h.join(cross.hint("merge"), by, "left")
     return out.select(*by, "n", F.exp("h").alias("exp_h"), (1 / (F.col("own") + F.coalesce("cross", F.lit(0.0)))).alias("rpe"), (1 - F.coalesce("mean", F.lit(1.0))).alias("li"),
                       F.col("n").cast("double").alias("deng"), (F.col("h") / F.greatest(F.log(F.lit(float(max(k, 1)))), F.lit(1e-9))).alias("h_norm"))
 

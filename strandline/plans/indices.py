@@ -137,9 +137,9 @@ SELECT count(*) AS n, round(avg(y), 9) AS redundant, (SELECT round(auc, 9) FROM
  round(avg(CASE WHEN x >= (SELECT q FROM th) THEN CASE WHEN kappa = 1 THEN 1.0 ELSE 0 END END), 9) AS top_third_ones FROM t""")
 def i8_misranking(spark, sf_dir):
     """How well route diversity ranks demands with two and more routes, its bootstrap interval, and the ones among its top third."""
-    x = ensembles.indices(_routes(spark, sf_dir)).join(_labels(spark, sf_dir), "d")
+    x = ensembles.indices(_routes(spark, sf_dir)).join(_labels(spark, sf_dir).hint("merge"), "d")
     t = stored(x.select("d", F.round("li", 8).alias("x"), (F.col("kappa") >= 2).cast("int").alias("y"), "kappa"))
-    v = weighted.auc(stats.resampled(t.select("d", "x", "y"), REPLICATES, ["d"], ["x", "y"]), "x", "y", ["rep"], "times")
+    v = stats.resampled_auc(t.select("d", "x", "y"), REPLICATES, ["d"], "x", "y")
     ci = v.agg(F.round(F.percentile("auc", F.lit(0.025)), 9).alias("lo"), F.round(F.percentile("auc", F.lit(0.975)), 9).alias("hi"))
     q = t.agg(F.percentile("x", F.lit(2.0 / 3)).alias("q"))
     head = t.join(F.broadcast(q)).agg(F.count("*").alias("n"), F.round(F.avg("y"), 9).alias("redundant"), F.round(F.avg(F.when(F.col("x") >= F.col("q"), (F.col("kappa") == 1).cast("double"))), 9).alias("top_third_ones"))

@@ -4,10 +4,12 @@ import os
 import time
 from pathlib import Path
 
+import duckdb
 import numpy as np
 
-from strandline import session
+from strandline import catalog, session
 from strandline.llm import lm
+from strandline.operators import ensembles
 
 
 def _bytes(*tops):
@@ -37,3 +39,9 @@ def test_stored_tables_leave_no_shuffles(spark):
             break
         time.sleep(0.1)
     assert not left and out.count() == 300_000
+
+def test_ensembles_are_not_broadcast(spark):
+    r = spark.range(0, 2_000).selectExpr("id div 4 AS d", "cast(id % 4 AS int) AS route", "cast(id % 7 AS double) AS cost", "array(id % 5, 10 + id % 3) AS arcs")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    df = ensembles.indices(r)
+    assert len(df.collect()) == 500 and "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
