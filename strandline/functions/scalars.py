@@ -61,3 +61,12 @@ def interval_text(lo: Column, hi: Column, digits: int = 3) -> Column:
 def table_row(cells: list[Column]) -> Column:
     """A line of a LaTeX table."""
     return F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\"))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x, a double, rounded as DuckDB does: x times 10^digits to the nearest integer, halves away from zero; F.round() goes by the decimals that x is printed with."""
+    m = x * F.lit(10.0**digits)
+    size = F.abs(m)
+    whole = F.floor(size).cast("double")
+    near = F.when(size < 2.0**52, F.when(size - whole >= 0.5, whole + 1).otherwise(whole) * F.when(m < 0, F.lit(-1.0)).otherwise(1.0)).otherwise(m) / F.lit(10.0**digits)
+    return F.when(F.isnan(near) | (F.abs(near) == float("inf")), x).otherwise(near)

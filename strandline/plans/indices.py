@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import stats, weighted
+from strandline.functions import scalars, stats, weighted
 from strandline.operators import ensembles, flow, paths
 from strandline.plans.kappa import graph
 from strandline.plans.paths import GENERATORS, _bc, _entries
@@ -170,7 +170,7 @@ def i10_horizon(spark, sf_dir):
     cheapest = F.expr("CASE WHEN p_partkey % 10 = 0 THEN double('Infinity') ELSE p_retailprice END")
     # a price that isn't known leaves the horizon unknown, as in SQL; only an infinite one says that there is no route
     known = F.when(cheapest.isNotNull(), ensembles.horizon(cheapest, F.col("p_size"), F.col("k"), F.col("rho")))
-    return p.select("p_partkey", "rho", "k", F.round(known, 3).alias("horizon"))
+    return p.select("p_partkey", "rho", "k", scalars.rounded(known, 3).alias("horizon"))
 
 
 @query(f"WITH {_R}, b AS (SELECT *, min(cost) OVER (PARTITION BY d) AS m FROM r), k AS (SELECT d, route, row_number() OVER (PARTITION BY d ORDER BY route) AS k FROM b WHERE cost <= 1.25 * m) SELECT d, route FROM k WHERE k <= 3")

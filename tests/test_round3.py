@@ -40,6 +40,17 @@ def test_stored_tables_leave_no_shuffles(spark):
         time.sleep(0.1)
     assert not left and out.count() == 300_000
 
+
+def test_horizons_are_rounded_as_in_sql(spark, tmp_path):
+    # prices of four and five decimals: halves at the fourth that a double doesn't hold exactly
+    duckdb.sql(f"COPY (SELECT i::BIGINT AS p_partkey, (i * 7919 % 10000000 - 2000000) / 10000.0::DOUBLE AS p_retailprice, (i % 50)::INTEGER AS p_size FROM range(1, 60000) r(i)) TO '{tmp_path}/part.parquet'")
+    duckdb.sql(f"CREATE OR REPLACE VIEW part AS FROM '{tmp_path}/part.parquet'")
+    got = {(r.p_partkey, r.rho, r.k): repr(r.horizon) for r in catalog.QUERIES["i10_horizon"](spark, str(tmp_path)).collect()}
+    want = {(a, b, c): repr(h) for a, b, c, h in duckdb.sql(f"SELECT p_partkey, rho, k, horizon FROM ({catalog.ORACLE_SQL['i10_horizon']}) q").fetchall()}
+    assert len(got) == len(want) == 4 * 59_999
+    assert got == want
+
+
 def test_ensembles_are_not_broadcast(spark):
     r = spark.range(0, 2_000).selectExpr("id div 4 AS d", "cast(id % 4 AS int) AS route", "cast(id % 7 AS double) AS cost", "array(id % 5, 10 + id % 3) AS arcs")
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
