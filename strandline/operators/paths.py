@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.fetch import fetched, made
-from strandline.operators import ensembles
+from strandline.operators import ensembles, layers
 from strandline.operators.flow import MOST_ARCS, packed, spread_hops, strong_labels
-from strandline.session import ensure_workers
+from strandline.session import ensure_workers, stored
 
 INF = float("inf")
 #: Costs of searches that advance together, and how many times the least arc's cost the greatest may be for that.
@@ -359,7 +359,30 @@ def distances(bc, sources: DataFrame, backwards: bool = False, cutoff: float = I
 
 
 def reach(bc, sources: DataFrame, backwards: bool = False) -> DataFrame:
-    """s, nodes, total, farthest of distances(): how many, their sum and the greatest, summed where they are found."""
+    """s, nodes, total, farthest of distances(): how many, their sum and the greatest, summed where they are found.
+
+    Many sources of a long, narrow graph are swept (layers.reach), one side of some
+    neighbouring sources a task; otherwise each is searched.
+    """
+    spark, kind = sources.sparkSession, "s long, nodes long, total double, farthest double"
+    ids = _nodes(sources, "s")
+    wanted, parts = spark.sparkContext.broadcast(ids), max(1, -(-len(ids) // layers.PART))  # at most a graph's nodes count
+
+    def sweep(batches):
+        for pdf in batches:
+            for i in pdf["id"]:
+                g = bc.value
+                at = np.sort(np.array(g.index(wanted.value), np.int64))
+                found = layers.reach(g, np.array_split(at, parts)[i // 2], backwards, i % 2 == 1) if len(at) >= layers.FEW else None
+                if found is None:
+                    yield pd.DataFrame({"s": [None], "nodes": [0], "total": [0.0], "farthest": [0.0]}).astype({"s": "Int64"})
+                else:
+                    yield pd.DataFrame({"s": g.nodes[found[0]], **dict(zip(["nodes", "total", "farthest"], found[1:], strict=True))})
+
+    swept = stored(spark.range(0, 2 * parts, 1, 2 * parts).mapInPandas(sweep, kind))
+    if not swept.where("s IS NULL").limit(1).count():
+        return swept.groupBy("s").agg(F.sum("nodes").alias("nodes"), F.sum("total").alias("total"), F.max("farthest").alias("farthest"))
+
     def run(batches):
         g = bc.value
         for pdf in _whole(batches):
@@ -369,7 +392,7 @@ def reach(bc, sources: DataFrame, backwards: bool = False) -> DataFrame:
                 out.append((pdf["s"][i], len(d), float(d.sum()), float(d.max())))
             yield pd.DataFrame(out, columns=["s", "nodes", "total", "farthest"])
 
-    return _dealt(sources.select(F.col("s").cast("long")).where("s IS NOT NULL").distinct(), "s").mapInPandas(run, "s long, nodes long, total double, farthest double")
+    return _dealt(sources.select(F.col("s").cast("long")).where("s IS NOT NULL").distinct(), "s").mapInPandas(run, kind)
 
 
 def gravity(bc, sources: DataFrame, weights: DataFrame, backwards: bool = False) -> DataFrame:

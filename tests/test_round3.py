@@ -9,7 +9,7 @@ import numpy as np
 
 from strandline import catalog, session
 from strandline.llm import lm
-from strandline.operators import ensembles
+from strandline.operators import ensembles, layers, paths
 
 
 def _bytes(*tops):
@@ -56,3 +56,35 @@ def test_ensembles_are_not_broadcast(spark):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
     df = ensembles.indices(r)
     assert len(df.collect()) == 500 and "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _strip(long=300, wide=10):
+    rng, x = np.random.default_rng(7), np.arange(long * wide)
+    east, south = x[x % wide < wide - 1], x[:-wide]
+    u, v = np.concatenate([east, east + 1, south, south + wide]), np.concatenate([east + 1, east, south + wide, south])
+    kept = rng.random(len(u)) < 0.7
+    return rng, u[kept], v[kept], rng.integers(50, 150, kept.sum()).astype(float)
+
+
+def test_sweeps_equal_searches():
+    rng, u, v, w = _strip()
+    g = paths.Streets(u, v, w)
+    src = np.sort(rng.choice(g.n, 200, replace=False))
+    for back in (False, True):
+        d = g.spread(src.tolist(), back)
+        far = np.where(np.isfinite(d), d, 0.0)
+        one, two = (dict(zip(f[0].tolist(), zip(*f[1:], strict=True), strict=True)) for f in (layers.reach(g, src, back, m) for m in (False, True)))
+        for i, s in enumerate(src.tolist()):
+            assert (one[s][0] + two[s][0], one[s][1] + two[s][1], max(one[s][2], two[s][2])) == (np.isfinite(d[i]).sum(), far[i].sum(), far[i].max())
+    assert layers.reach(g, src, False, False, most_states=50) is None
+    assert layers.reach(paths.Streets(u, v, w + 0.5), src, False, False) is None
+
+
+def test_many_sources_are_swept_not_searched(spark, monkeypatch):
+    _, u, v, w = _strip()
+    bc = paths.broadcast_streets(spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(u, v, w, strict=True)], "u long, v long, w double"))
+    src = spark.range(0, 3_000, 2).selectExpr("id AS s").unionByName(spark.range(10**6, 10**6 + 2).selectExpr("id AS s"))
+    want = {r.s: tuple(r)[1:] for r in paths.distances(bc, src).groupBy("s").agg({"node": "count", "dist": "sum"}).selectExpr("s", "`count(node)`", "`sum(dist)`").collect()}
+    monkeypatch.setattr(paths, "_dealt", None)  # what deals searches
+    got = {r.s: (r.nodes, r.total) for r in paths.reach(bc, src).collect()}
+    assert len(got) > 1_400 and got == want
